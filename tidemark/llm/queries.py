@@ -18,6 +18,18 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.language import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.quality import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.sentencepiece_codec import encode_documents
 
@@ -36,11 +48,20 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.toxicity import detect
+
+    return detect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_language": op2_language,
+        "op3_quality": op3_quality,
         "op4_sentencepiece": op4_sentencepiece,
         "op6_packing": op6_packing,
         "op8_simhash": op8_simhash,
+        "op10_toxicity": op10_toxicity,
     }
 
 
