@@ -42,6 +42,12 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(pieces(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json")))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.linededup import digest
+
+    return digest(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.simhash import near_duplicates
 
@@ -60,6 +66,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_quality": op3_quality,
         "op4_sentencepiece": op4_sentencepiece,
         "op6_packing": op6_packing,
+        "op7_line_dedup": op7_line_dedup,
         "op8_simhash": op8_simhash,
         "op10_toxicity": op10_toxicity,
     }
