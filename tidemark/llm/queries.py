@@ -18,6 +18,12 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.flatgraph import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.language import identify
 
@@ -54,6 +60,13 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.annsearch import nearest
+
+    rows = table(spark, sf_dir, "embeddings")
+    return nearest(rows, rows.where("vec_id % 50 = 0"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.toxicity import detect
 
@@ -62,12 +75,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_embedding_dedup": op1_embedding_dedup,
         "op2_language": op2_language,
         "op3_quality": op3_quality,
         "op4_sentencepiece": op4_sentencepiece,
         "op6_packing": op6_packing,
         "op7_line_dedup": op7_line_dedup,
         "op8_simhash": op8_simhash,
+        "op9_nearest": op9_nearest,
         "op10_toxicity": op10_toxicity,
     }
 
