@@ -42,6 +42,12 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.lmscore import score
+
+    return score(table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.packing import pack, pieces
 
@@ -79,6 +85,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_language": op2_language,
         "op3_quality": op3_quality,
         "op4_sentencepiece": op4_sentencepiece,
+        "op5_lm_score": op5_lm_score,
         "op6_packing": op6_packing,
         "op7_line_dedup": op7_line_dedup,
         "op8_simhash": op8_simhash,
