@@ -1,9 +1,70 @@
-"""The corpus pipeline: language, quality, lines, near-duplicates, packing."""
+"""The corpus pipeline: language, quality, lines, near-duplicates, packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir), works on all rows that the stage before it kept,
+and returns the columns of documents (the last one the packed pieces).  ``run`` writes
+every stage's rows to the shared folder and reads them again.  The models are trained on
+the rows that the stage gets, by the rules of the operators.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm import language, linededup, packing, quality, simhash
+from tidemark.llm.queries import table, tokenizer_path
+from tidemark.llm.runtime import stored
+
+LEAST_LANGUAGE_SCORE = 0.3
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts in a known language stay; those without letters or like none of them go."""
+    scored = language.predict(docs, language.train(docs))
+    return scored.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(docs.columns)
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts that the classifier takes for good ones stay."""
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).where("predicted = 1").select(docs.columns)
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents stay, without the lines that stand earlier in the corpus."""
+    kept = linededup.dedup(docs)
+    if "n_chars" in docs.columns:
+        kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return kept.select(docs.columns)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays, the one with the smallest doc_id."""
+    groups = simhash.near_duplicates(docs)
+    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document's pieces and their places in sequences."""
+    return packing.pack(packing.pieces(docs, tokenizer_path("byte_bpe_50k.json")))
+
+
+STAGES = [
+    ("language", language_stage),
+    ("quality", quality_stage),
+    ("lines", line_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("packing", packing_stage),
+]
+
+#: Models and tokenizers aren't SQL; tests hold the pipeline against plain Python.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    """Apply the stages to the documents, each on what the one before it kept."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply the stages to the documents of ``sf_dir``."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
