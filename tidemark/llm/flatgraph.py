@@ -9,7 +9,8 @@ itself, and then the range grows over all neighbours of what lies within the thr
 Links are verified by cosine in double precision.
 
 The result is audited: a bounded sample of vectors is compared with all rows; if a link
-of them is missing, everything is built again with twice the overlap (at last all shards).
+of them is missing, everything is built again with twice the overlap and longer lists, up
+to three times.
 
 Equal vectors are one class before shards are made.  A shard above ``shard_rows`` is
 dealt to parts, each with its own graph, and its queries search all parts.
@@ -48,31 +49,49 @@ def centroids(sample: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return c
 
 
-def pruned(x: np.ndarray, degree: int = 24, nearest: int = 48, far: int = 24, alpha: float = 1.2) -> np.ndarray:
-    """Neighbour lists (-1: none): candidates in order of distance, each dropped if a
-    chosen one is ``alpha`` times closer to it than the vector is."""
+def pruned(x: np.ndarray, effort: int = 1, alpha: float = 1.2) -> np.ndarray:
+    """Neighbour lists (-1: none), from three pools: a vector's nearest ones, some of its
+    nearest few hundred, and some of all.  In each pool candidates are taken in order of
+    distance and dropped if a chosen one is ``alpha`` times closer to them than the vector
+    is.  The second pool ties dense groups together, the third ties groups to each other.
+    """
     n = len(x)
-    out = np.full((n, degree), -1, np.int64)
     rng = np.random.default_rng(3)
+    slots = (20, 12 * effort, 8 * effort)
+    out = np.full((n, sum(slots)), -1, np.int64)
     for start in range(0, n, 512):
         rows = np.arange(start, min(n, start + 512))
         sims = x[rows] @ x.T
         sims[np.arange(len(rows)), rows] = -2
-        take = min(nearest, n - 1)
-        near = np.argpartition(-sims, take - 1, axis=1)[:, :take] if take else np.zeros((len(rows), 0), np.int64)
-        cand = np.concatenate([near, rng.integers(0, n, (len(rows), far))], axis=1)
-        gap = 1 - np.take_along_axis(sims, cand, 1)
-        order = np.argsort(gap, axis=1, kind="stable")
-        cand, gap = np.take_along_axis(cand, order, 1), np.take_along_axis(gap, order, 1)
-        alive = cand != rows[:, None]
-        vectors = x[cand]
-        for d in range(degree):
-            first = alive.argmax(axis=1)
-            some = alive[np.arange(len(rows)), first]
-            chosen = cand[np.arange(len(rows)), first]
-            out[rows[some], d] = chosen[some]
-            to_chosen = 1 - np.einsum("rcd,rd->rc", vectors, x[chosen])
-            alive &= ~((alpha * to_chosen <= gap) | (cand == chosen[:, None])) | ~some[:, None]
+        wide = min(512 * effort, n - 1)
+        if not wide:
+            continue
+        near = np.argpartition(-sims, wide - 1, axis=1)[:, :wide]
+        near = np.take_along_axis(near, np.argsort(-np.take_along_axis(sims, near, 1), axis=1, kind="stable"), 1)
+        some = np.take_along_axis(near, rng.integers(0, wide, (len(rows), 2 * slots[1])), 1)
+        pools = (near[:, :48], some, rng.integers(0, n, (len(rows), 2 * slots[2])))
+        at = 0
+        for cand, most in zip(pools, slots, strict=True):
+            out[rows, at : at + most] = _prune(x, rows, cand, np.take_along_axis(sims, cand, 1), most, alpha)
+            at += most
+    return out
+
+
+def _prune(x: np.ndarray, rows: np.ndarray, cand: np.ndarray, sims: np.ndarray, most: int, alpha: float) -> np.ndarray:
+    gap = 1 - sims
+    order = np.argsort(gap, axis=1, kind="stable")
+    cand, gap = np.take_along_axis(cand, order, 1), np.take_along_axis(gap, order, 1)
+    alive, vectors = cand != rows[:, None], x[cand]
+    out, line = np.full((len(rows), most), -1, np.int64), np.arange(len(rows))
+    for d in range(most):
+        first = alive.argmax(axis=1)
+        some = alive[line, first]
+        if not some.any():
+            break
+        chosen = cand[line, first]
+        out[some, d] = chosen[some]
+        to_chosen = 1 - (vectors @ x[chosen][:, :, None])[:, :, 0]
+        alive &= ~((alpha * to_chosen <= gap) | (cand == chosen[:, None])) | ~some[:, None]
     return out
 
 
@@ -86,7 +105,7 @@ class Search:
         back: list[list[int]] = [[] for _ in lists]
         for i, a in enumerate(lists):
             for j in a:
-                if len(back[j]) < 16:
+                if len(back[j]) < 24:
                     back[j].append(i)
         lists = [np.unique(np.r_[a, b].astype(np.int64)) for a, b in zip(lists, back, strict=True)]
         width = max((len(a) for a in lists), default=0)
@@ -201,7 +220,7 @@ def _vectors(pdf: pd.DataFrame) -> np.ndarray:
     return unit(np.stack(pdf["embedding"].to_numpy()).astype(np.float64))
 
 
-def _linked(classes: DataFrame, centres: np.ndarray, overlap: int, threshold: float, shard_rows: int) -> DataFrame:
+def _linked(classes: DataFrame, centres: np.ndarray, overlap: int, threshold: float, shard_rows: int, effort: int) -> DataFrame:
     """(rep, links, root): of home vectors the copies they link with; root joins groups."""
     rows = stored(_shards(classes, centres, overlap), "shards")
     sizes = rows.groupBy("shard").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("parts"), F.ceil(F.sum(F.col("home").cast("int")) / shard_rows).cast("int").alias("asks"))
@@ -211,7 +230,7 @@ def _linked(classes: DataFrame, centres: np.ndarray, overlap: int, threshold: fl
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         ids = pdf["rep"].to_numpy()
-        lists = pruned(_vectors(pdf))
+        lists = pruned(_vectors(pdf), effort)
         return pd.DataFrame({"rep": ids, "near": [ids[a[a >= 0]] for a in lists]})
 
     graphs = nodes.groupBy("shard", "part").applyInPandas(build, "rep long, near array<long>")
@@ -268,16 +287,16 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.95, overlap: int
     if n:
         centres = centroids(np.stack(sample["embedding"].to_numpy()).astype(np.float64), min(k, len(sample))) if len(sample) else unit(matrix_of_first(classes))
         checks = drawn(classes, "rep", audit).limit(2 * audit).collect()
-        overlap = min(overlap, len(centres))
+        overlap, effort = min(overlap, len(centres)), 1
         while True:
-            found = stored(_linked(classes, centres, overlap, threshold, shard_rows), "linked")
+            found = stored(_linked(classes, centres, overlap, threshold, shard_rows, effort), "linked")
             links = found.groupBy("rep").agg(F.sum("links").alias("links"))
             truth = _true_links(classes, checks, threshold) if checks else {}
             names = F.broadcast(embeddings.sparkSession.createDataFrame([(int(i),) for i in truth], "rep long"))
             got = {r["rep"]: r["links"] for r in links.join(names, "rep").collect()}
-            if overlap >= len(centres) or all(got.get(i, 0) >= m for i, m in truth.items()):
+            if effort >= 8 or all(got.get(i, 0) >= m for i, m in truth.items()):
                 break
-            overlap = min(2 * overlap, len(centres))
+            overlap, effort = min(2 * overlap, len(centres)), 2 * effort
         groups = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     else:
         links = classes.select("rep", F.lit(0).cast("long").alias("links"))
