@@ -130,7 +130,7 @@ def _search(rows: DataFrame, queries: DataFrame, k: int, tables: int, probes: in
     return both.mapInArrow(_ranked(k), "query_id long, vec_id long, score double")
 
 
-def nearest(embeddings: DataFrame, queries: DataFrame, k: int = 5, tables: int = 10, probes: int = 8) -> DataFrame:
+def nearest(embeddings: DataFrame, queries: DataFrame, k: int = 5, tables: int = 10, probes: int = 12) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows found for each query."""
     ship(embeddings.sparkSession)
     rows, asked = usable(embeddings.select("vec_id", "embedding")), usable(queries.select("vec_id", "embedding"))
