@@ -13,7 +13,7 @@ DATA = os.environ.get("TIDEMARK_DATA", "/root/testdata")
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     session = (
-        SparkSession.builder.master("local[4]")
+        SparkSession.builder.master(f"local[{min(4, os.cpu_count() or 1)}]")
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
