@@ -12,7 +12,8 @@ Equal fingerprints are one before anchors are dealt, so exact copies never meet.
 anchor with more than ``most_home`` fingerprints at home is split over several tasks.
 
 Defined results: a text that is null or has no words has fingerprint zero and links with
-other zeros; texts below three words hash as one shingle; equal ids stay separate rows.
+other zeros; texts below three words hash as one shingle; equal ids stay separate rows;
+texts without any id have no component.
 """
 
 from __future__ import annotations
@@ -153,7 +154,7 @@ def links(distinct: DataFrame, threshold: int = 3, most_home: int = 8192) -> Dat
                     key = (anchor | np.uint64(k << 32)).astype(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp[row]), pa.array(rep[row]), pa.array(home)], names=["key", "fp", "rep", "home"])
 
-    dealt = distinct.select("fp", "rep").mapInArrow(deal, "key long, fp long, rep long, home boolean")
+    dealt = distinct.select("fp", "rep").where("rep IS NOT NULL").mapInArrow(deal, "key long, fp long, rep long, home boolean")
     hot = dealt.where("home").groupBy("key").count().where(F.col("count") > most_home)
     hot = hot.select("key", F.ceil(F.col("count") / most_home).cast("int").alias("parts"))
     split = dealt.join(hot, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
