@@ -17,9 +17,9 @@ any further columns of the input are ignored; rows with equal ids are all return
 from __future__ import annotations
 
 import hashlib
-import heapq
 import re
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,7 +33,7 @@ _UNIT = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 class Codec(dict):
     """Maps a unit to (its ids as b"1,2,", its decoded bytes); computes what is missing."""
 
-    def __init__(self, model: bytes, most_units: int = 400_000, longest_kept: int = 64):
+    def __init__(self, model: bytes, most_units: int = 800_000, longest_kept: int = 64):
         super().__init__()
         import sentencepiece
 
@@ -46,7 +46,10 @@ class Codec(dict):
         self.byte_of = {i: b for b, i in self.byte_ids.items()}
         hidden = set(special)
         self.ids = {names[i]: i for i in range(size) if i not in hidden}
-        self.scores = {p: lib.get_score(i) for p, i in self.ids.items()}
+        scores = {p: lib.get_score(i) for p, i in self.ids.items()}
+        place = {s: k for k, s in enumerate(sorted(set(scores.values()), reverse=True))}
+        #: Rank of every piece by score, the best first; equal scores share a rank.
+        self.ranks = {p: place[s] for p, s in scores.items()}
         self.unknown = lib.unk_id()
         self.digits = [b"%d," % i for i in range(size)]
         self.bytes_of = [bytes([self.byte_of[i]]) if i in self.byte_of else names[i].replace(MARK, " ").encode() for i in range(size)]
@@ -63,7 +66,12 @@ class Codec(dict):
         self.unchecked: list[tuple[str, list[int]]] = []
 
     def merge(self, unit: str) -> list[int]:
-        """Ids of one unit, by stretches that merges may cross."""
+        """Ids of one unit, by stretches that merges may cross.
+
+        A plain word is one stretch.  Others are taken apart, as their words repeat.
+        """
+        if unit.lstrip(MARK).isalpha():
+            return self.agenda(unit)
         joins, start, out = self.joins, 0, []
         for k in range(1, len(unit) + 1):
             if k == len(unit) or unit[k - 1 : k + 1] not in joins:
@@ -71,7 +79,7 @@ class Codec(dict):
                 ids = self.stretches.get(stretch)
                 if ids is None:
                     ids = self.agenda(stretch)
-                    if len(stretch) <= self.longest_kept:
+                    if len(stretch) <= self.longest_kept and len(stretch) < len(unit):
                         if len(self.stretches) >= self.most_units:
                             self.stretches.clear()
                         self.stretches[stretch] = ids
@@ -80,38 +88,50 @@ class Codec(dict):
         return out
 
     def agenda(self, stretch: str) -> list[int]:
-        """Ids of a stretch: merge the best adjacent pair until none is a piece."""
-        symbols = list(stretch)
-        scores, n = self.scores, len(symbols)
+        """Ids of a stretch: merge the best adjacent pair until none is a piece.
+
+        An entry of the agenda is one integer: the piece's rank by score, then the left
+        and the right place, then the piece's length, which tells outdated entries.
+        """
+        n, ranks = len(stretch), self.ranks
+        b = (n + 1).bit_length()
+        low = (1 << b) - 1
+        symbols, sizes = list(stretch), [1] * n
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         agenda = []
         for i in range(n - 1):
-            score = scores.get(symbols[i] + symbols[i + 1])
-            if score is not None:
-                agenda.append((-score, i, i + 1, len(symbols[i]) + len(symbols[i + 1])))
-        heapq.heapify(agenda)
+            rank = ranks.get(stretch[i : i + 2])
+            if rank is not None:
+                agenda.append((((rank << b | i) << b | (i + 1)) << b) | 2)
+        heapify(agenda)
         while agenda:
-            _, left, right, width = heapq.heappop(agenda)
-            if not symbols[left] or not symbols[right] or len(symbols[left]) + len(symbols[right]) != width:
+            entry = heappop(agenda)
+            right, left = entry >> b & low, entry >> 2 * b & low
+            size = sizes[left] + sizes[right]
+            if size != entry & low or not sizes[left] or not sizes[right]:
                 continue  # one of the two was merged into something else meanwhile
-            symbols[left] += symbols[right]
-            symbols[right] = ""
+            symbols[left] = merged = symbols[left] + symbols[right]
+            sizes[left], sizes[right] = size, 0
             after[left] = far = after[right]
             if far < n:
                 before[far] = left
-                score = scores.get(symbols[left] + symbols[far])
-                if score is not None:
-                    heapq.heappush(agenda, (-score, left, far, len(symbols[left]) + len(symbols[far])))
+                rank = ranks.get(merged + symbols[far])
+                if rank is not None:
+                    heappush(agenda, (((rank << b | left) << b | far) << b) | (size + sizes[far]))
             near = before[left]
             if near >= 0:
-                score = scores.get(symbols[near] + symbols[left])
-                if score is not None:
-                    heapq.heappush(agenda, (-score, near, left, len(symbols[near]) + len(symbols[left])))
+                rank = ranks.get(symbols[near] + merged)
+                if rank is not None:
+                    heappush(agenda, (((rank << b | near) << b | left) << b) | (sizes[near] + size))
         out: list[int] = []
-        for s in symbols:
-            if s:
-                known = self.ids.get(s)
-                out.extend([known] if known is not None else [self.byte_ids[b] for b in s.encode()])
+        at, known = 0, self.ids
+        while at < n:
+            piece = known.get(symbols[at])
+            if piece is None:
+                out += [self.byte_ids[x] for x in symbols[at].encode()]
+            else:
+                out.append(piece)
+            at = after[at]
         return out
 
     def unit_bytes(self, ids: list[int]) -> bytes:
