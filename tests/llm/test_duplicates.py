@@ -144,6 +144,21 @@ def test_flat_graph_equals_brute_force(spark):
     assert got == {i: (int(near[i].sum()), want[i], want[i] == i) for i in range(400)} | {i: (0, i, True) for i in range(1000, 1005)}
 
 
+def test_queries_of_foreign_parts_miss_nothing():
+    """One wide group and some single vectors: one greedy pass ends in the group at times."""
+    rng = np.random.default_rng(5)
+    x = np.r_[rng.normal(size=(1, 64)) + 0.5 * rng.normal(size=(1500, 64)), rng.normal(size=(300, 64))]
+    q = np.repeat(x[1500:], 2, axis=0)
+    q += 0.01 * rng.normal(size=q.shape)
+    x, q = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (x, q))
+    ids, asked = np.arange(len(x)), np.arange(10_000, 10_000 + len(q))
+    lists = [a[a >= 0] for a in flatgraph.pruned(x)]
+    total, _, roots = flatgraph.link(ids, x, np.ones(len(x), np.int64), lists, asked, q, 0.95)
+    near = q @ x.T >= 0.95
+    assert total.tolist() == near.sum(axis=1).tolist()
+    assert (roots[::2] == roots[1::2]).all()
+
+
 def test_vector_queries(spark, sf):
     rows = table(spark, sf, "embeddings").collect()
     ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)

@@ -13,7 +13,8 @@ of them is missing, everything is built again with twice the overlap and longer
 to three times.
 
 Equal vectors are one class before shards are made.  A shard above ``shard_rows`` is
-dealt to parts, each with its own graph, and its queries search all parts.
+dealt to parts, each with its own graph; its queries search the graph of their own part
+and are compared with every vector of the others.
 
 Defined results: unusable vectors (see ``vectors.usable``) link with nothing and are
 their own component; equal vec_ids stay separate rows; an empty table gives no rows.
@@ -159,10 +160,14 @@ class Search:
 
 
 def link(ids: np.ndarray, x: np.ndarray, copies: np.ndarray, lists: list[np.ndarray], asked: np.ndarray, q: np.ndarray, threshold: float, beam: int = 16, block: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(links of every query, root of every node, root of every query), roots being ids."""
-    search = Search(x, lists)
+    """(links of every query, root of every node, root of every query), roots being ids.
+
+    A query that is a node searches the graph.  One that isn't could not tell whether the
+    search has arrived, so it is compared with every node.
+    """
     place = {v: i for i, v in enumerate(ids.tolist())}
     own = np.array([place.get(v, -1) for v in asked.tolist()])
+    search = Search(x, lists) if (own >= 0).any() else None
     total = np.zeros(len(asked), np.int64)
     parent = np.arange(len(ids) + len(asked))
 
@@ -175,15 +180,16 @@ def link(ids: np.ndarray, x: np.ndarray, copies: np.ndarray, lists: list[np.ndar
 
     for start in range(0, len(asked), block):
         rows = np.arange(start, min(len(asked), start + block))
-        wide, pending, beams = beam, rows, {}
+        wide, pending, beams = beam, rows[own[rows] >= 0], {}
         while len(pending):
             got = search.greedy(q[pending].astype(np.float32), wide)
             beams.update(zip(pending.tolist(), got, strict=True))
-            lost = (own[pending] >= 0) & ~(got == own[pending][:, None]).any(axis=1)
+            lost = ~(got == own[pending][:, None]).any(axis=1)
             pending, wide = (pending[lost], wide * 2) if wide < len(ids) else (pending[:0], wide)
+        foreign = rows[own[rows] < 0]
+        close = dict(zip(foreign.tolist(), q[foreign] @ x.T >= threshold - 1e-9, strict=True))
         for i in rows.tolist():
-            starts = np.r_[beams[i], own[i]]
-            found = search.within(q[i], starts, threshold - 1e-9)
+            found = np.flatnonzero(close[i]) if i in close else search.within(q[i], np.r_[beams[i], own[i]], threshold - 1e-9)
             found = found[(x[found] * q[i]).sum(axis=1) >= threshold]
             found = found[found != own[i]]
             total[i] = copies[found].sum()
