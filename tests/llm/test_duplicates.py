@@ -159,6 +159,14 @@ def test_queries_of_foreign_parts_miss_nothing():
     assert (roots[::2] == roots[1::2]).all()
 
 
+def test_vectors_that_share_a_vec_id(spark):
+    a, b = [1.0, 0.0, 0.0, 0.0], [0.0, 1.0, 0.0, 0.0]
+    rows = [(5, a), (9, a), (5, b), (7, [1.0, 0.1, 0.0, 0.0]), (8, [0.1, 1.0, 0.0, 0.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in flatgraph.near_duplicates(frame).collect())
+    assert got == [(5, 1, 5, True), (5, 2, 5, True), (7, 2, 5, False), (8, 1, 5, False), (9, 2, 5, False)]
+
+
 def test_vector_queries(spark, sf):
     rows = table(spark, sf, "embeddings").collect()
     ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)

@@ -17,7 +17,8 @@ dealt to parts, each with its own graph; its queries search the graph of their o
 and are compared with every vector of the others.
 
 Defined results: unusable vectors (see ``vectors.usable``) link with nothing and are
-their own component; equal vec_ids stay separate rows; an empty table gives no rows.
+their own component; equal vec_ids stay separate rows, and a component is named after its
+smallest vec_id even if that stands in another one too; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -284,9 +285,7 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.95, overlap: int
     """(vec_id, n_links, component_id, kept) of every row."""
     ship(embeddings.sparkSession)
     rows = usable(embeddings.select("vec_id", "embedding").where(F.col("vec_id").isNotNull()))
-    classes = stored(rows.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "classes")
-    # One vec_id may stand on several vectors: its classes then share a name and are told apart no more.
-    classes = classes.dropDuplicates(["rep"])
+    classes = numbered(stored(rows.groupBy("embedding").agg(F.min("vec_id").alias("name"), F.count("*").alias("copies")), "classes"))
     n = classes.count()
     k = int(np.clip(round(n * overlap / shard_rows), 1, 2048))
     sample = drawn(classes, "rep", min(40_000, 64 * k)).select("embedding", "rep").toPandas().sort_values("rep")
@@ -303,17 +302,30 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.95, overlap: int
             if effort >= 8 or all(got.get(i, 0) >= m for i, m in truth.items()):
                 break
             overlap, effort = min(2 * overlap, len(centres)), 2 * effort
-        groups = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
+        groups = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("component", "group")
     else:
         links = classes.select("rep", F.lit(0).cast("long").alias("links"))
-        groups = classes.select(F.col("rep").alias("node"), F.col("rep").alias("component"))
-    facts = classes.join(links, "rep", "left").join(groups, classes.rep == groups.node, "left")
-    facts = facts.select(F.xxhash64("embedding").alias("hash"), F.col("embedding").alias("same"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "rep").alias("component"))
+        groups = classes.select(F.col("rep").alias("node"), F.col("rep").alias("group"))
+    facts = classes.join(links, "rep", "left").join(groups, classes.rep == groups.node, "left").withColumn("group", F.coalesce("group", "rep"))
+    names = facts.groupBy("group").agg(F.min("name").alias("component"))
+    facts = facts.join(names, "group")
+    facts = facts.select(F.xxhash64("embedding").alias("hash"), F.col("embedding").alias("same"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"), "component")
     out = embeddings.select("vec_id", "embedding").withColumn("hash", F.xxhash64("embedding")).join(facts.withColumnRenamed("hash", "of"), (F.col("hash") == F.col("of")) & (F.col("embedding") == F.col("same")), "left")
     component = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
 
 
+def numbered(classes: DataFrame) -> DataFrame:
+    """``classes`` with a ``rep`` of its own for each: a hash of the vector, whose seed goes
+    up until no two vectors share one.  One vec_id may stand on several vectors."""
+    seed = 0
+    while True:
+        out = classes.withColumn("rep", F.xxhash64(F.lit(seed), "embedding"))
+        if out.groupBy("rep").count().where("count > 1").isEmpty():
+            return out
+        seed += 1
+
+
 def matrix_of_first(classes: DataFrame) -> np.ndarray:
     """The first class's vector, where the sample came out empty."""
     return np.array([classes.orderBy("rep").first()["embedding"]], np.float64)
