@@ -167,6 +167,24 @@ def test_vectors_that_share_a_vec_id(spark):
     assert got == [(5, 1, 5, True), (5, 2, 5, True), (7, 2, 5, False), (8, 1, 5, False), (9, 2, 5, False)]
 
 
+def test_links_beyond_all_shards_are_found(spark):
+    """Wide links over many small shards: no overlap that rebuilding reaches holds them all."""
+    x = np.random.default_rng(3).normal(size=(300, 3))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = (u @ u.T >= 0.3).sum(axis=1) - 1
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in flatgraph.near_duplicates(frame, threshold=0.3, shard_rows=12).collect()}
+    assert got == dict(enumerate(near.tolist()))
+
+
+def test_cells_that_are_ruled_out_hold_no_link():
+    rng = np.random.default_rng(6)
+    c, x = flatgraph.unit(rng.normal(size=(40, 4))), flatgraph.unit(rng.normal(size=(500, 4)))
+    may, home = flatgraph.reachable(x, c, 0.95), (x @ c.T).argmax(axis=1)
+    linked = x @ x.T >= 0.95
+    assert may[:, home][linked].all() and not may.all()
+
+
 def test_vector_queries(spark, sf):
     rows = table(spark, sf, "embeddings").collect()
     ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)

@@ -8,9 +8,13 @@ shard: a greedy search walks from the medoid, its beam doubles until it meets th
 itself, and then the range grows over all neighbours of what lies within the threshold.
 Links are verified by cosine in double precision.
 
-The result is audited: a bounded sample of vectors is compared with all rows; if a link
-of them is missing, everything is built again with twice the overlap and longer lists, up
-to three times.
+The result is audited: bounded samples of all vectors, of those with links and of those
+near shard borders are compared with all rows; if a link of them is missing, everything is
+built again with twice the overlap and longer lists, up to three times.  If the audit
+still fails, no graph is used: each vector is sent to every cell whose vectors may lie
+within the threshold, by the distance to the plane between that cell's centroid and its
+own, and each cell's vectors are compared with all that were sent.  That is exact.  The
+recall that each audit measured is logged.
 
 Equal vectors are one class before shards are made.  A shard above ``shard_rows`` is
 dealt to parts, each with its own graph; its queries search the graph of their own part
@@ -23,6 +27,7 @@ smallest vec_id even if that stands in another one too; an empty table gives no
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +41,8 @@ from tidemark.llm.runtime import ship, stored
 from tidemark.llm.textcodes import drawn
 from tidemark.llm.vectors import matrix, unit, usable
 
+LOG = logging.getLogger(__name__)
+
 
 def centroids(sample: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     """Spherical k-means from evenly spaced starts."""
@@ -160,15 +167,16 @@ class Search:
         return np.concatenate(found) if found else np.zeros(0, np.int64)
 
 
-def link(ids: np.ndarray, x: np.ndarray, copies: np.ndarray, lists: list[np.ndarray], asked: np.ndarray, q: np.ndarray, threshold: float, beam: int = 16, block: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def link(ids: np.ndarray, x: np.ndarray, copies: np.ndarray, lists: list[np.ndarray], asked: np.ndarray, q: np.ndarray, threshold: float, whole: bool = False, beam: int = 16, block: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(links of every query, root of every node, root of every query), roots being ids.
 
     A query that is a node searches the graph.  One that isn't could not tell whether the
-    search has arrived, so it is compared with every node.
+    search has arrived, so it is compared with every node; so are all if ``whole``.
     """
     place = {v: i for i, v in enumerate(ids.tolist())}
     own = np.array([place.get(v, -1) for v in asked.tolist()])
-    search = Search(x, lists) if (own >= 0).any() else None
+    direct = (own < 0) | whole
+    search = None if direct.all() else Search(x, lists)
     total = np.zeros(len(asked), np.int64)
     parent = np.arange(len(ids) + len(asked))
 
@@ -181,14 +189,14 @@ def link(ids: np.ndarray, x: np.ndarray, copies: np.ndarray, lists: list[np.ndar
 
     for start in range(0, len(asked), block):
         rows = np.arange(start, min(len(asked), start + block))
-        wide, pending, beams = beam, rows[own[rows] >= 0], {}
+        wide, pending, beams = beam, rows[~direct[rows]], {}
         while len(pending):
             got = search.greedy(q[pending].astype(np.float32), wide)
             beams.update(zip(pending.tolist(), got, strict=True))
             lost = ~(got == own[pending][:, None]).any(axis=1)
             pending, wide = (pending[lost], wide * 2) if wide < len(ids) else (pending[:0], wide)
-        foreign = rows[own[rows] < 0]
-        close = dict(zip(foreign.tolist(), q[foreign] @ x.T >= threshold - 1e-9, strict=True))
+        plain = rows[direct[rows]]
+        close = dict(zip(plain.tolist(), q[plain] @ x.T >= threshold - 1e-9, strict=True))
         for i in rows.tolist():
             found = np.flatnonzero(close[i]) if i in close else search.within(q[i], np.r_[beams[i], own[i]], threshold - 1e-9)
             found = found[(x[found] * q[i]).sum(axis=1) >= threshold]
@@ -203,8 +211,23 @@ def link(ids: np.ndarray, x: np.ndarray, copies: np.ndarray, lists: list[np.ndar
     return total, names[every[: len(ids)]], names[every[len(ids) :]]
 
 
-def _shards(classes: DataFrame, centres: np.ndarray, overlap: int) -> DataFrame:
-    """(rep, copies, embedding, shard, home): a row for each shard a class belongs to."""
+def reachable(x: np.ndarray, c: np.ndarray, threshold: float) -> np.ndarray:
+    """For each vector and centroid: may a vector whose nearest centroid this is lie within
+    ``threshold``?  Such a vector is on the centroid's side of the plane between it and the
+    vector's own centroid, so the angle to that plane is a lower bound."""
+    if threshold <= 0:
+        return np.ones((len(x), len(c)), bool)
+    sims, product = x @ c.T, c @ c.T
+    own, squares = sims.argmax(axis=1), np.diag(product)
+    apart = np.sqrt(np.maximum(squares[own][:, None] + squares - 2 * product[own], 0))
+    gap = sims[np.arange(len(x)), own][:, None] - sims
+    return gap <= np.sqrt(max(0.0, 1 - threshold**2)) * apart + 1e-6  # the slack covers rounding
+
+
+def _shards(classes: DataFrame, centres: np.ndarray, overlap: int, threshold: float, whole: bool = False) -> DataFrame:
+    """(rep, copies, embedding, shard, home, border): a row for each shard a class belongs to,
+    the ``overlap`` nearest or, if ``whole``, all that it can link into; at a border, it can
+    link into a shard that it doesn't belong to."""
     shared = classes.sparkSession.sparkContext.broadcast(centres)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,24 +235,29 @@ def _shards(classes: DataFrame, centres: np.ndarray, overlap: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = unit(matrix(batch.column("embedding")))
-            near = np.argsort(-(x @ c.T), axis=1, kind="stable")[:, :overlap]
-            row = pa.array(np.repeat(np.arange(len(x)), near.shape[1]))
-            home = np.zeros(near.shape, bool)
-            home[:, 0] = True
-            yield pa.RecordBatch.from_arrays([*[col.take(row) for col in batch.columns], pa.array(near.ravel().astype(np.int32)), pa.array(home.ravel())], names=[*batch.schema.names, "shard", "home"])
+            for start in range(0, batch.num_rows, 2048):
+                part = batch.slice(start, 2048)
+                x = unit(matrix(part.column("embedding")))
+                order = np.argsort(-(x @ c.T), axis=1, kind="stable")
+                may = reachable(x, c, threshold)
+                of = np.zeros(may.shape, bool)
+                np.put_along_axis(of, order[:, :overlap], True, 1)
+                border = (may & ~of).any(axis=1)
+                row, shard = np.nonzero(may if whole else of)
+                home = shard == order[row, 0]
+                yield pa.RecordBatch.from_arrays([*[col.take(pa.array(row)) for col in part.columns], pa.array(shard.astype(np.int32)), pa.array(home), pa.array(border[row])], names=[*batch.schema.names, "shard", "home", "border"])
 
     kind = classes.schema["embedding"].dataType.simpleString()
-    return classes.select("rep", "copies", "embedding").mapInArrow(run, f"rep long, copies long, embedding {kind}, shard int, home boolean")
+    return classes.select("rep", "copies", "embedding").mapInArrow(run, f"rep long, copies long, embedding {kind}, shard int, home boolean, border boolean")
 
 
 def _vectors(pdf: pd.DataFrame) -> np.ndarray:
     return unit(np.stack(pdf["embedding"].to_numpy()).astype(np.float64))
 
 
-def _linked(classes: DataFrame, centres: np.ndarray, overlap: int, threshold: float, shard_rows: int, effort: int) -> DataFrame:
-    """(rep, links, root): of home vectors the copies they link with; root joins groups."""
-    rows = stored(_shards(classes, centres, overlap), "shards")
+def _linked(rows: DataFrame, threshold: float, shard_rows: int, effort: int, whole: bool = False) -> DataFrame:
+    """(rep, links, root) from the rows of ``_shards``: of home vectors the copies they link
+    with; root joins groups.  If ``whole``, by comparing all and not by graphs."""
     sizes = rows.groupBy("shard").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("parts"), F.ceil(F.sum(F.col("home").cast("int")) / shard_rows).cast("int").alias("asks"))
     sized = rows.join(F.broadcast(sizes), "shard")  # one row for each centroid, of which there are at most 2048
     own = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), "rep"), F.greatest(n, F.lit(1))).cast("int")
@@ -240,11 +268,15 @@ def _linked(classes: DataFrame, centres: np.ndarray, overlap: int, threshold: fl
         lists = pruned(_vectors(pdf), effort)
         return pd.DataFrame({"rep": ids, "near": [ids[a[a >= 0]] for a in lists]})
 
-    graphs = nodes.groupBy("shard", "part").applyInPandas(build, "rep long, near array<long>")
-    united = graphs.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
     none = F.array().cast("array<long>")
+    if whole:
+        listed = nodes.withColumn("near", none)
+    else:
+        graphs = nodes.groupBy("shard", "part").applyInPandas(build, "rep long, near array<long>")
+        united = graphs.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
+        listed = nodes.join(united, "rep")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1))
-    graph = nodes.join(united, "rep").select("shard", "part", each(F.col("asks")).alias("ask"), "rep", "copies", "embedding", "near", F.lit(False).alias("asking"))
+    graph = listed.select("shard", "part", each(F.col("asks")).alias("ask"), "rep", "copies", "embedding", "near", F.lit(False).alias("asking"))
     asking = sized.where("home").select("shard", each(F.col("parts")).alias("part"), own(F.col("asks"), 2).alias("ask"), "rep", "copies", "embedding", none.alias("near"), F.lit(True).alias("asking"))
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -255,7 +287,7 @@ def _linked(classes: DataFrame, centres: np.ndarray, overlap: int, threshold: fl
         ids = node["rep"].to_numpy()
         place = {v: i for i, v in enumerate(ids.tolist())}
         lists = [np.array([place[v] for v in near if v in place], np.int64) for near in node["near"]]
-        links, node_root, ask_root = link(ids, _vectors(node), node["copies"].to_numpy(), lists, ask["rep"].to_numpy(), _vectors(ask), threshold)
+        links, node_root, ask_root = link(ids, _vectors(node), node["copies"].to_numpy(), lists, ask["rep"].to_numpy(), _vectors(ask), threshold, whole)
         moved = node_root != ids
         return pd.DataFrame({"rep": np.r_[ask["rep"], ids[moved]], "links": np.r_[links, np.zeros(moved.sum(), np.int64)], "root": np.r_[ask_root, node_root[moved]]})
 
@@ -281,7 +313,7 @@ def _true_links(rows: DataFrame, sample: list, threshold: float) -> dict[int, in
     return {r["rep"]: r["links"] for r in counted.collect()}
 
 
-def near_duplicates(embeddings: DataFrame, threshold: float = 0.95, overlap: int = 4, shard_rows: int = 6000, audit: int = 512) -> DataFrame:
+def near_duplicates(embeddings: DataFrame, threshold: float = 0.95, overlap: int = 4, shard_rows: int = 6000, audit: int = 512, most_effort: int = 8) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row."""
     ship(embeddings.sparkSession)
     rows = usable(embeddings.select("vec_id", "embedding").where(F.col("vec_id").isNotNull()))
@@ -291,15 +323,24 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.95, overlap: int
     sample = drawn(classes, "rep", min(40_000, 64 * k)).select("embedding", "rep").toPandas().sort_values("rep")
     if n:
         centres = centroids(np.stack(sample["embedding"].to_numpy()).astype(np.float64), min(k, len(sample))) if len(sample) else unit(matrix_of_first(classes))
-        checks = drawn(classes, "rep", audit).limit(2 * audit).collect()
         overlap, effort = min(overlap, len(centres)), 1
         while True:
-            found = stored(_linked(classes, centres, overlap, threshold, shard_rows, effort), "linked")
+            rows = stored(_shards(classes, centres, overlap, threshold), "shards")
+            found = stored(_linked(rows, threshold, shard_rows, effort), "linked")
             links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-            truth = _true_links(classes, checks, threshold) if checks else {}
+            checks = _checks(classes, stored(rows.where("home").select("rep", "border").join(links, "rep", "left"), "homes"), audit)
+            truth = _true_links(classes, checks, threshold + 1e-12) if checks else {}  # rounding decides about nearer ones
             names = F.broadcast(embeddings.sparkSession.createDataFrame([(int(i),) for i in truth], "rep long"))
             got = {r["rep"]: r["links"] for r in links.join(names, "rep").collect()}
-            if effort >= 8 or all(got.get(i, 0) >= m for i, m in truth.items()):
+            LOG.warning("audit of %d vectors, overlap %d, effort %d: %d of %d links found", len(truth), overlap, effort, sum(min(got.get(i, 0), m) for i, m in truth.items()), sum(truth.values()))
+            if all(got.get(i, 0) >= m for i, m in truth.items()):
+                break
+            if effort >= most_effort:
+                LOG.warning("the audit still fails: comparing every vector with all that may be near")
+                few = centroids(np.stack(sample["embedding"].to_numpy()).astype(np.float64), int(np.clip(round(n / shard_rows), 1, len(centres)))) if len(sample) else centres
+                rows = stored(_shards(classes, few, 1, threshold, whole=True), "shards")
+                found = stored(_linked(rows, threshold, shard_rows, effort, whole=True), "linked")
+                links = found.groupBy("rep").agg(F.sum("links").alias("links"))
                 break
             overlap, effort = min(2 * overlap, len(centres)), 2 * effort
         groups = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("component", "group")
@@ -315,6 +356,14 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.95, overlap: int
     return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
 
 
+def _checks(classes: DataFrame, homes: DataFrame, most: int) -> list:
+    """Classes to audit: some of all, of those near borders, of those with links, of both."""
+    parts = (homes, homes.where("border"), homes.where("links > 0"), homes.where("border AND links > 0"))
+    reps = {r["rep"] for part in parts for r in drawn(part.select("rep"), "rep", most).collect()}
+    names = classes.sparkSession.createDataFrame([(i,) for i in sorted(reps)], "rep long")
+    return classes.join(F.broadcast(names), "rep").select("rep", "embedding").collect()
+
+
 def numbered(classes: DataFrame) -> DataFrame:
     """``classes`` with a ``rep`` of its own for each: a hash of the vector, whose seed goes
     up until no two vectors share one.  One vec_id may stand on several vectors."""
