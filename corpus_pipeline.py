@@ -31,8 +31,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents stay, without the lines that stand earlier in the corpus."""
-    kept = linededup.dedup(docs)
+    """All documents stay, without the lines of 20 or more characters that stand earlier in the corpus."""
+    kept = linededup.dedup(docs, least_chars=20)
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return kept.select(docs.columns)

@@ -116,6 +116,12 @@ def test_lines_equal_brute_force(spark, threshold):
     assert mine == plain_dedup(docs, threshold, 18)
 
 
+def test_short_lines_take_part(spark):
+    docs = [(1, "All rights reserved\nok\n\n "), (2, "All rights reserved.\nok\n\n "), (3, "no\nAll rights reserved\ntext of 3\ntext of 4")]
+    got = {r.doc_id: (r.text, r.n_removed, r.n_links) for r in linededup.dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {1: (docs[0][1], 0, 1), 2: ("\n ", 2, 1), 3: ("no\ntext of 3\ntext of 4", 1, 1)}
+
+
 def test_line_plan_stays_in_the_jvm(spark, weird):
     import io
     from contextlib import redirect_stdout
