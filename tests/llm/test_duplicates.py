@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import annsearch, flatgraph, linededup, simhash
 from tidemark.llm.components import components
-from tidemark.llm.queries import op1_embedding_dedup, op8_simhash, op9_nearest, table
+from tidemark.llm.queries import op1_embedding_dedup, op7_line_dedup, op8_simhash, op9_nearest, table
 
 
 def joined(pairs, nodes):
@@ -79,13 +79,28 @@ def distance(a, b):
     return row[-1]
 
 
-def plain_dedup(docs, threshold, least):
+def banded(a, b, most=2):
+    """The edit distance, or some number above ``most``."""
+    row = {j: j for j in range(most + 1)}
+    for i, x in enumerate(a, 1):
+        new = {}
+        for j in range(max(0, i - most), min(len(b), i + most) + 1):
+            new[j] = min(row.get(j, 99) + 1, new.get(j - 1, 99) + 1 if j else 99, row.get(j - 1, 99) + (x != b[j - 1]) if j else 99)
+        if min(new.values()) > most:
+            return 99
+        row = new
+    return row.get(len(b), 99)
+
+
+def plain_dedup(docs, threshold, least, quick=False):
     lines = sorted((i, p, x) for i, t in docs for p, x in enumerate(t.split("\n")) if len(x) >= least and x.strip(" "))
     first = {}
     for i, p, x in lines:
         first.setdefault(x, (i, p))
     order = sorted(first, key=first.get)
-    links = {x: [y for y in order if y != x and distance(x, y) <= threshold] for x in order}
+    joins = [x for x in order if len(x) > (threshold + 1) ** 2]
+    apart = banded if quick else distance
+    links = {x: [] for x in order} | {x: [y for y in joins if y != x and abs(len(x) - len(y)) <= threshold and apart(x, y) <= threshold] for x in joins}
     later = {x for x in order if any(first[y] < first[x] for y in links[x])}
     out = {}
     for i, t in docs:
@@ -122,15 +137,48 @@ def test_short_lines_take_part(spark):
     assert got == {1: (docs[0][1], 0, 1), 2: ("\n ", 2, 1), 3: ("no\ntext of 3\ntext of 4", 1, 1)}
 
 
-def test_line_plan_stays_in_the_jvm(spark, weird):
+def test_line_plans_stay_in_the_jvm(spark, weird):
     import io
     from contextlib import redirect_stdout
 
+    met = linededup.met_lines(linededup.distinct_lines(linededup.occurrences(weird, 1)), 2)
     with redirect_stdout(out := io.StringIO()):
-        linededup.near_pairs(linededup.distinct_lines(linededup.occurrences(weird, 20)), 2).explain()
+        met.explain()
+        linededup.near_pairs(met, 2).explain()
+        linededup.dedup(weird).explain()
     assert "Python" not in out.getvalue() and "Arrow" not in out.getvalue()
 
 
+def test_lines_that_share_a_segment_fill_many_tiles(spark, monkeypatch):
+    """Many different lines of one length under one key, with tiles of three lines."""
+    monkeypatch.setattr(linededup, "TILE", 3)
+    rng = random.Random(11)
+    docs = [(i, "the same beginning of every line " + "".join(rng.choice("ab") for _ in range(5)) + rng.choice(["", "x"])) for i in range(90)]
+    got = linededup.dedup(spark.createDataFrame(docs, "doc_id long, text string"), 2)
+    assert {r.doc_id: (r.n_lines, r.n_removed, r.n_links, hashlib.sha256(r.text.encode()).hexdigest()) for r in got.collect()} == plain_dedup(docs, 2, 1)
+
+
+def test_line_query(spark, sf):
+    docs = [(r.doc_id, r.text) for r in table(spark, sf, "documents").collect()]
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.n_links, r.text_sha256) for r in op7_line_dedup(spark, sf).collect()}
+    quick = plain_dedup([(i, t or "") for i, t in docs], 2, 1, quick=True)
+    assert got == {i: quick[i] if t is not None else (0, 0, 0, hashlib.sha256(b"").hexdigest()) for i, t in docs}
+
+
+def test_lines_of_repeated_rows(spark):
+    """Rows that are equal in all columns, and rows that differ only in another column."""
+    rows = [(5, "alpha beta gamma\n\nno", "p", 1), (5, "alpha beta gamma\n\nno", "p", 1), (5, "alpha beta gamma\n\nno", "q", 1), (None, "alpha beta gamma", None, 2), (None, None, None, 3), (None, None, None, 3)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, places string, n_links int")
+    plain = linededup.dedup(frame, counts=False)
+    assert plain.columns == frame.columns and plain.schema["n_links"].dataType == frame.schema["n_links"].dataType
+    texts = [(r.doc_id, r.text, r.places, r.n_links) for r in plain.collect()]
+    assert sorted(t[1] for t in texts if t[0] == 5) == ["", "", "\nno"]  # a row without an id comes first
+    assert [t for t in texts if t[3] == 2] == [(None, "alpha beta gamma", None, 2)]
+    assert [t for t in texts if t[3] == 3] == [(None, None, None, 3)] * 2
+    removed = sorted((r.doc_id or 0, r.n_lines, r.n_removed, r.n_links) for r in linededup.dedup(frame).collect())
+    assert removed == [(0, 0, 0, 0), (0, 0, 0, 0), (0, 1, 0, 0), (5, 3, 1, 0), (5, 3, 2, 0), (5, 3, 2, 0)]
+
+
 def vectors(rng, n, d=24):
     x = rng.normal(size=(n, d))
     x[n // 2 :] = x[rng.integers(0, n // 4, n - n // 2)] + rng.normal(size=(n - n // 2, d)) * rng.uniform(0, 0.12, (n - n // 2, 1))
