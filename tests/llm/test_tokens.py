@@ -39,11 +39,20 @@ def test_round_trip_frames(spark, weird):
 def test_a_wrong_unit_is_noticed():
     codec = sentencepiece_codec.Codec(sentencepiece_codec.read_model(tokenizer_path("piece_bpe_32k.model")))
     codec.encode("hello")
-    codec.unchecked[0] = (codec.unchecked[0][0], [5])
+    codec.unchecked.append(("▁hello", [5]))
     with pytest.raises(ValueError):
         codec.check()
 
 
+def test_matrix_and_heap_agendas_agree():
+    codec = sentencepiece_codec.Codec(sentencepiece_codec.read_model(tokenizer_path("piece_bpe_32k.model")))
+    rng = np.random.default_rng(1)
+    letters = list("aaeeinorstthhlu▁.,é日\x01🙂Zq-1")
+    units = ["".join(rng.choice(letters, rng.integers(1, 40))) for _ in range(3000)]
+    units = [u for u in units if "▁▁" not in u]
+    assert codec.agendas(units) == [codec.agenda(u) for u in units]
+
+
 def test_pieces_and_packing(spark, sf):
     from tokenizers import Tokenizer
 

@@ -1,14 +1,16 @@
 """SentencePiece encoding and decoding for merge-type (BPE) vocabularies.
 
 Method: a score-ordered agenda of adjacent symbol pairs.  All adjacent pairs that form
-a piece wait in a heap, best score first and leftmost first among equals; the top pair
-is merged and its new neighbours join the agenda until it is empty.
+a piece wait in the agenda, best score first and leftmost first among equals; the top pair
+is merged and its new neighbours join the agenda until it is empty.  The agendas of many
+short units are rows of one numpy matrix, which holds the rank of each pair by score, and
+take a step together; a long unit's agenda is a heap.
 
 No piece of such a vocabulary holds the word mark after another character (this is
 checked when the tables are built), and none holds a newline, so merges never cross
 those places and the agenda may run on one unit at a time.  Units repeat, so a worker
-keeps their ids in a bounded cache.  Every unit that the agenda encodes is compared
-with the sentencepiece library, one bulk call for each Arrow batch.
+keeps their ids in a bounded cache.  Every unit that an agenda encodes is compared
+with the sentencepiece library, one bulk call for each part of an Arrow batch.
 
 Defined results: a null or empty text has no ids; very long texts are encoded whole;
 any further columns of the input are ignored; rows with equal ids are all returned.
@@ -18,20 +20,24 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tidemark.llm.runtime import bounded, ship
 
 MARK = "▁"  # SentencePiece's visible space
+SHORT, ROWS = 64, 8192  # longest unit in a matrix of agendas, and rows of a matrix
 _UNIT = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 
 
 class Codec(dict):
-    """Maps a unit to (its ids as b"1,2,", its decoded bytes); computes what is missing."""
+    """Maps a unit to (its ids as b"1,2,", its decoded bytes); ``learn`` adds what is missing."""
 
     def __init__(self, model: bytes, most_units: int = 800_000, longest_kept: int = 64):
         super().__init__()
@@ -64,6 +70,71 @@ class Codec(dict):
         if "".join(names[i] for i in probe) != f"{MARK * 3}a{MARK * 2}":
             raise ValueError("the vocabulary normalises white space; only identity normalisation is supported")
         self.unchecked: list[tuple[str, list[int]]] = []
+        self._pair_table(size, place)
+
+    def _pair_table(self, size: int, place: dict[float, int]) -> None:
+        """Ranks of all pairs of pieces that form a piece, sorted by the pair's number."""
+        ids = self.ids
+        #: In a matrix a rank must name one piece, and every character of a piece must be one.
+        self.plain = all(ch in ids for p in ids for ch in p)
+        often = Counter(self.ranks.values())
+        self.shared = re.compile("|".join(sorted({re.escape(p[:2]) for p, r in self.ranks.items() if often[r] > 1 and len(p) > 1})) or "(?!)")
+        self.none = len(place)
+        self.pad, self.outside = size, size + 1  # symbols that aren't pieces; characters follow from ``outside`` on
+        pairs = [(ids[p[:k]] << 21 | ids[p[k:]], self.ranks[p]) for p in ids for k in range(1, len(p)) if p[:k] in ids and p[k:] in ids]
+        table = np.array(sorted(pairs), np.int64).reshape(-1, 2)
+        self.pair_keys, self.pair_ranks = np.append(table[:, 0], np.int64(1) << 62), np.append(table[:, 1], self.none).astype(np.int32)
+        self.piece_of_rank = np.zeros(len(place), np.int64)
+        self.piece_of_rank[list(self.ranks.values())] = [ids[p] for p in self.ranks]
+        self.char_ids = self.outside + np.arange(0x110000, dtype=np.int64)
+        for p, i in ids.items():
+            if len(p) == 1:
+                self.char_ids[ord(p)] = i
+
+    def pair_ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left << 21 | right
+        at = np.searchsorted(self.pair_keys, key)
+        return np.where(self.pair_keys[at] == key, self.pair_ranks[at], self.none).astype(np.int32)
+
+    def agendas(self, units: list[str]) -> list[list[int]]:
+        """Ids of many units: a row of ``ranks`` is a unit's agenda, and in each round the best
+        and leftmost pair of every row is merged."""
+        sizes = np.array([len(u) for u in units])
+        symbols = np.full((len(units), int(sizes.max())), self.pad, np.int64)
+        symbols[np.arange(symbols.shape[1]) < sizes[:, None]] = self.char_ids[np.frombuffer("".join(units).encode("utf-32-le"), "<u4")]
+        ranks = self.pair_ranks_of(symbols[:, :-1], symbols[:, 1:])
+        rows, out = np.arange(len(units)), [[] for _ in units]
+
+        def finish(which: np.ndarray) -> None:
+            part = symbols[which]
+            held = part != self.pad
+            flat, ends = part[held].tolist(), np.cumsum(held.sum(axis=1)).tolist()
+            for row, a, b in zip(rows[which].tolist(), [0, *ends], ends, strict=False):
+                out[row] = flat[a:b]
+
+        while len(rows):
+            if not ranks.shape[1]:
+                finish(np.ones(len(rows), bool))
+                break
+            at = ranks.argmin(axis=1)
+            best = ranks[np.arange(len(rows)), at]
+            going = best < self.none
+            if not going.all():
+                finish(~going)
+                rows, symbols, ranks, at, best = rows[going], symbols[going], ranks[going], at[going], best[going]
+            line, at = np.arange(len(rows)), at[:, None]
+            symbols[line, at[:, 0]] = self.piece_of_rank[best]
+            col = np.arange(symbols.shape[1] - 1)
+            symbols = np.take_along_axis(symbols, col + (col > at), 1)
+            col = col[:-1]
+            ranks = np.take_along_axis(ranks, col + (col >= at), 1)
+            for first in (at[:, 0] - 1, at[:, 0]):  # the pairs on both sides of the merged symbol
+                some = np.flatnonzero((first >= 0) & (first < ranks.shape[1]))
+                ranks[some, first[some]] = self.pair_ranks_of(symbols[some, first[some]], symbols[some, first[some] + 1])
+        for i, ids in enumerate(out):
+            if max(ids) >= self.outside:
+                out[i] = list(chain.from_iterable([x] if x < self.outside else [self.byte_ids[b] for b in chr(x - self.outside).encode()] for x in ids))
+        return out
 
     def merge(self, unit: str) -> list[int]:
         """Ids of one unit, by stretches that merges may cross.
@@ -138,15 +209,17 @@ class Codec(dict):
         """What ids stand for, before the leading space of the text is taken off."""
         return b"".join([self.bytes_of[i] for i in ids])
 
-    def __missing__(self, unit: str) -> tuple[bytes, bytes]:
-        ids = self.merge(unit)
-        entry = (b"".join([self.digits[i] for i in ids]), self.unit_bytes(ids))
-        self.unchecked.append((unit, ids))
-        if len(unit) <= self.longest_kept:
-            if len(self) >= self.most_units:
-                self.clear()
-            self[unit] = entry
-        return entry
+    def learn(self, units: set[str]) -> None:
+        """Encode units and keep them.  Before, everything goes if there would be too many."""
+        short = sorted([u for u in units if len(u) <= SHORT and not self.shared.search(u)] if self.plain else [], key=len)
+        found = [(u, self.merge(u)) for u in units.difference(short)]
+        for start in range(0, len(short), ROWS):
+            part = short[start : start + ROWS]
+            found += zip(part, self.agendas(part), strict=True)
+        for unit, ids in found:
+            self[unit] = b"".join([self.digits[i] for i in ids]), self.unit_bytes(ids)
+        self.unchecked += found
+        self.check()
 
     def check(self) -> None:
         """Compare what was encoded since the last call with the library."""
@@ -164,12 +237,25 @@ class Codec(dict):
             return _UNIT.findall(marked)
         return [u for u in marked.replace("\n", " \n ").replace(MARK, f" {MARK}").split(" ") if u]
 
+    def encode_all(self, texts: list[str | None]) -> list[tuple[bytes, bytes]]:
+        """(ids in decimal joined by commas, decoded text in UTF-8) of each text."""
+        units = [self.units(t) if t else [] for t in texts]
+        new = set(chain.from_iterable(units))
+        if len(self) + len(new) > self.most_units:
+            self.clear()
+        new = {u for u in new if u not in self}
+        self.learn(new)
+        out = []
+        for each in units:
+            parts = list(map(self.__getitem__, each))
+            out.append((b"".join([p[0] for p in parts])[:-1], b"".join([p[1] for p in parts])[1:]))
+        for unit in new:
+            if len(unit) > self.longest_kept:
+                del self[unit]
+        return out
+
     def encode(self, text: str | None) -> tuple[bytes, bytes]:
-        """(ids in decimal joined by commas, decoded text in UTF-8)."""
-        if not text:
-            return b"", b""
-        parts = list(map(self.__getitem__, self.units(text)))
-        return b"".join([p[0] for p in parts])[:-1], b"".join([p[1] for p in parts])[1:]
+        return self.encode_all([text])[0]
 
     def encode_ids(self, text: str | None) -> list[int]:
         joined = self.encode(text)[0]
@@ -208,14 +294,12 @@ def encode_documents(documents: DataFrame, model_path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_for(model.value)
-        for batch in bounded(batches, "text"):
+        for batch in bounded(batches, "text", 2 << 20):
             counts, ids, decoded = [], [], []
-            for text in batch.column("text").to_pylist():
-                joined, back = codec.encode(text)
+            for joined, back in codec.encode_all(batch.column("text").to_pylist()):
                 counts.append(joined.count(b",") + 1 if joined else 0)
                 ids.append(hashlib.sha256(joined).hexdigest())
                 decoded.append(hashlib.sha256(back).hexdigest())
-            codec.check()
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(ids), pa.array(decoded)], schema=_ARROW)
 
     return documents.select("doc_id", "text").mapInArrow(run, SCHEMA)
@@ -229,9 +313,8 @@ def encode_to_ids(documents: DataFrame, model_path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_for(model.value)
-        for batch in bounded(batches, "text"):
-            ids = [codec.encode_ids(text) for text in batch.column("text").to_pylist()]
-            codec.check()
+        for batch in bounded(batches, "text", 2 << 20):
+            ids = [[int(i) for i in joined.split(b",")] if joined else [] for joined, _ in codec.encode_all(batch.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
