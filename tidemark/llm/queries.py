@@ -6,6 +6,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,8 +70,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.annsearch import nearest
 
-    rows = table(spark, sf_dir, "embeddings")
-    return nearest(rows, rows.where("vec_id % 50 = 0"))
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Vector tables: which rows take part, and Arrow columns as matrices."""
+"""Vector tables: which rows take part, by dimension, and Arrow columns as matrices."""
 
 from __future__ import annotations
 
@@ -9,12 +9,16 @@ from pyspark.sql import functions as F
 
 
 def usable(rows: DataFrame, column: str = "embedding") -> DataFrame:
-    """Rows whose vector is not null, not zero, and holds finite numbers only; of several
-    dimensions only the most common one (of equally common ones the larger) takes part."""
+    """Rows whose vector is not null, not zero, and holds finite numbers only."""
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
-    good = rows.where(F.forall(column, finite) & F.exists(column, lambda x: x != 0))
-    common = good.groupBy(F.size(column).alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    return good.where(F.size(column) == (common["d"] if common else 0))
+    return rows.where(F.forall(column, finite) & F.exists(column, lambda x: x != 0))
+
+
+def by_dimension(rows: DataFrame, column: str = "embedding") -> list[DataFrame]:
+    """A frame for each dimension that occurs; cosines are defined within one only.  The
+    driver gets the dimensions, of which a table has as many as it mixes models."""
+    found = sorted(r[0] for r in rows.select(F.size(column)).distinct().collect())
+    return [rows.where(F.size(column) == d) for d in found]
 
 
 def matrix(column: pa.Array) -> np.ndarray:
