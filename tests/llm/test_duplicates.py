@@ -188,14 +188,14 @@ def vectors(rng, n, d=24):
 def test_flat_graph_equals_brute_force(spark):
     x = vectors(np.random.default_rng(1), 400)
     x[20] = x[21] = x[22]
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000, None), (1001, [0.0] * 24), (1002, [float("nan")] * 24), (1003, [None] * 24), (1004, [1.0])]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000, None), (1001, [0.0] * 24), (1002, [float("nan")] * 24), (1003, [None] * 24), (1004, [1.0]), (1005, [1.0, 2.0]), (1006, [2.0, 4.0]), (1007, [1.0, 2.0])]
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     near = u @ u.T >= 0.95
     np.fill_diagonal(near, False)
     want = joined(np.argwhere(near).tolist(), range(400))
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in flatgraph.near_duplicates(frame, shard_rows=120).collect()}
-    assert got == {i: (int(near[i].sum()), want[i], want[i] == i) for i in range(400)} | {i: (0, i, True) for i in range(1000, 1005)}
+    assert got == {i: (int(near[i].sum()), want[i], want[i] == i) for i in range(400)} | {i: (0, i, True) for i in range(1000, 1005)} | {i: (2, 1005, i == 1005) for i in (1005, 1006, 1007)}
 
 
 def test_queries_of_foreign_parts_miss_nothing():
@@ -259,19 +259,33 @@ def test_vector_queries(spark, sf):
 
 
 def test_nearest_of_few_rows_ties_and_salts(spark):
-    rows = [(i, [1.0, 0.0, 0.0]) for i in (3, 1, 2)] + [(7, [0.0, 1.0, 0.0]), (8, [0.0, 0.0, 0.0]), (9, None)]
-    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = annsearch.nearest(frame, frame.where("vec_id IN (1, 8)")).orderBy("rank").collect()
+    rows = [(i, [1.0, 0.0, 0.0]) for i in (3, 1, 2)] + [(7, [0.0, 1.0, 0.0]), (8, [0.0, 0.0, 0.0]), (9, None), (None, [1.0, 0.0, 0.0]), (5, [1.0, 0.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("x"))
+    got = annsearch.nearest(frame, F.expr("vec_id IN (1, 5, 8)")).orderBy("rank").collect()
     assert [(r.query_id, r["rank"], r.vec_id) for r in got] == [(1, 1, 2), (1, 2, 3), (1, 3, 7)]
-    assert annsearch.nearest(frame.limit(0), frame.limit(0)).count() == 0
+    assert annsearch.nearest(frame.limit(0), F.lit(True)).count() == 0
     x = np.random.default_rng(2).normal(size=(90, 8))
     more = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    more = more.selectExpr("vec_id", "embedding", "xxhash64(embedding) AS h", "1 AS copy")
     split = annsearch._search(more, more, 5, 1, 0, most=10).distinct()
     whole = annsearch._search(more, more, 5, 1, 0).distinct()
     best = lambda df: {(r.query_id, r.vec_id) for r in df.selectExpr("*", "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r").where("r <= 5").collect()}
     assert best(split) == best(whole)
 
 
+def test_nearest_of_repeated_rows(spark):
+    """Equal rows, one vec_id on two vectors, and more equal vectors than there are ranks."""
+    a, b, c = [1.0, 0.0, 0.0, 0.0], [0.9, 0.1, 0.0, 0.0], [0.0, 0.0, 1.0, 0.0]
+    rows = [(2, a), (2, a), (2, b), (4, a), (6, c)] + [(100 + i, c) for i in range(20)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in annsearch.nearest(frame, F.expr("vec_id IN (2, 6, 110)")).collect():
+        got.setdefault((r.query_id, r["rank"]), []).append(r.vec_id)
+    assert sorted(got[2, 1]) == [2, 2, 2] and sorted(got[2, 2]) == [2, 4, 4] and sorted(got[2, 3]) == [2, 2, 4]  # twice a, once b
+    assert [got[6, k] for k in range(1, 6)] == [[100], [101], [102], [103], [104]]
+    assert [got[110, k] for k in range(1, 6)] == [[6], [100], [101], [102], [103]]
+
+
 def test_odd_rows(spark, weird, no_rows):
     groups = {(r.doc_id, r.component_id) for r in simhash.near_duplicates(weird).collect()}
     assert {(1, 1), (2, 1), (3, 1), (5, 4), (6, 6)} <= groups
