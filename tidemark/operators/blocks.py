@@ -1,7 +1,7 @@
 """Blocks of sorted runs and their metadata.
 
-A run is cut at range partitions and then every ``capacity`` rows, so ranks are counted
-inside a partition of a run and no task sorts a whole run.
+A run is cut at range partitions and then every ``capacity`` rows.  Ranks are counted in
+fine pieces of a partition and added up, so no task sorts a whole partition of a run.
 """
 
 from __future__ import annotations
@@ -11,18 +11,43 @@ from pyspark.sql import functions as F
 
 CAPACITY = 128
 #: Block numbers of one range partition; a partition's first block is a multiple of it.
-STRIDE = 1_000_000
+#: With it a long holds four million partitions of a million million blocks.
+STRIDE = 1 << 40
+#: Pieces of a range partition that are ranked by tasks of their own.
+FINE = 64
 
 
 def partition_of(prefix: Column, width: int) -> Column:
     return F.floor(prefix / width).cast("long")
 
 
-def cut(rows: DataFrame, width: int, capacity: int = CAPACITY) -> DataFrame:
-    """Add ``block`` and ``slot`` to rows (run, prefix, suffix, ...)."""
-    order = Window.partitionBy("run", "part").orderBy("prefix", "suffix")
-    ranked = rows.withColumn("part", partition_of(F.col("prefix"), width)).withColumn("rank", F.row_number().over(order) - 1)
-    return ranked.select(*rows.columns, (F.col("part") * STRIDE + F.floor(F.col("rank") / capacity)).alias("block"), (F.col("rank") % capacity).cast("int").alias("slot"))
+def part_of_block(block: Column) -> Column:
+    return F.shiftright(block, STRIDE.bit_length() - 1)
+
+
+def ranked(rows: DataFrame, groups: list[str], piece: Column, order: list[str], pieces: int) -> DataFrame:
+    """Rows with ``rank``, their zero-based place in each of ``groups`` by ``order``.
+
+    ``piece`` must not fall as ``order`` grows.  Ranks are counted in a piece, to which the
+    sizes of the pieces before it are added: at most ``pieces`` rows that may be broadcast.
+    """
+    marked = rows.withColumn("_piece", piece)
+    sizes = marked.groupBy(*groups, "_piece").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*groups).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(*groups, "_piece", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    sizes = F.broadcast(sizes) if pieces <= 1_000_000 else sizes
+    own = F.row_number().over(Window.partitionBy(*groups, "_piece").orderBy(*order)) - 1
+    numbered = marked.withColumn("_own", own).join(sizes, [*groups, "_piece"])
+    return numbered.select(*rows.columns, (F.col("_own") + F.col("_before")).alias("rank"))
+
+
+def cut(rows: DataFrame, width: int, capacity: int = CAPACITY, runs: int = 32, parts: int = 64) -> DataFrame:
+    """Add ``block`` and ``slot`` to rows (run, prefix, suffix, ...) of at most ``runs`` runs
+    and ``parts`` range partitions."""
+    placed = rows.withColumn("_part", partition_of(F.col("prefix"), width))
+    piece = F.floor(F.col("prefix") / max(1, -(-width // FINE))).cast("long")
+    place = ranked(placed, ["run", "_part"], piece, ["prefix", "suffix"], runs * parts * (FINE + 1))
+    return place.select(*rows.columns, (F.col("_part") * STRIDE + F.floor(F.col("rank") / capacity)).alias("block"), (F.col("rank") % capacity).cast("int").alias("slot"))
 
 
 def metadata(blocks: DataFrame) -> DataFrame:
@@ -56,7 +81,7 @@ def reusable(table: DataFrame) -> DataFrame:
 
     Every range is cut by range partition first, so the running maxima are per partition.
     """
-    part = F.floor(F.col("block") / STRIDE)
+    part = part_of_block(F.col("block"))
     lo, hi = F.struct("min_prefix", "min_suffix"), F.struct("max_prefix", "max_suffix")
     order = Window.partitionBy("part").orderBy("lo", "run", "block")
     marked = table.withColumns({"part": part, "lo": lo, "hi": hi})

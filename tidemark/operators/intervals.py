@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.blocks import STRIDE, partition_of
+from tidemark.operators.blocks import FINE, part_of_block, partition_of, ranked
 
 
 def _lo() -> Column:
@@ -21,13 +21,14 @@ def _key(prefix: int, suffix: int) -> Column:
 
 
 def stab(table: DataFrame, probes: DataFrame, width: int) -> DataFrame:
-    """Probes with every block whose key range holds them.
+    """(probe, run, block): probes with the block of each run whose key range holds them.
 
-    Blocks lie inside one range partition, which is the equi-key of the join.
+    Blocks of a run don't overlap, so it can only be the first one that doesn't end before
+    the probe.
     """
-    keyed = table.withColumn("part", F.floor(F.col("block") / STRIDE))
-    asked = probes.withColumn("part", partition_of(F.col("prefix"), width)).withColumn("key", F.struct("prefix", "suffix"))
-    return asked.join(keyed, "part").where((F.col("key") >= _lo()) & (F.col("key") <= _hi())).drop("part", "key")
+    first = first_tables(table, probes, width)
+    held = first.join(table.select("run", "block", _lo().alias("lo")), ["run", "block"]).join(probes.select("probe", F.struct("prefix", "suffix").alias("key")), "probe")
+    return held.where("key >= lo").select("probe", "run", "block")
 
 
 def overlapping(table: DataFrame, low: tuple[int, int], high: tuple[int, int]) -> DataFrame:
@@ -36,29 +37,27 @@ def overlapping(table: DataFrame, low: tuple[int, int], high: tuple[int, int]) -
     return table.where(pushed & (_hi() >= _key(*low)) & (_lo() <= _key(*high)))
 
 
-def first_tables(table: DataFrame, probes: DataFrame, width: int, n: int = 1) -> DataFrame:
-    """For each probe and run the n-th block whose greatest key is not below the probe.
+def first_tables(table: DataFrame, probes: DataFrame, width: int, n: int = 1, runs: int = 32, parts: int = 64) -> DataFrame:
+    """For each probe (probe, prefix, suffix) and run the n-th block whose greatest key is not
+    below the probe.
 
-    Block ends and probes are ordered together inside one range partition of a run; a
-    probe above all ends of its partition takes the first block of the next one.  Runs are
-    few (a ring of at most 31), so each probe is repeated for each of them.
+    Block ends are numbered in each run.  Ends and probes are ordered together inside one
+    range partition of a run, which counts the ends before a probe; the block is then found
+    by its number.  Runs are few (a ring of at most 31), so each probe is repeated for each.
     """
-    by_run = Window.partitionBy("run").orderBy("key", "block")
-    ends = table.select("run", _hi().alias("key"), "block", F.floor(F.col("block") / STRIDE).alias("part"))
-    ends = ends.withColumn("nth", F.lead("block", n - 1).over(by_run))  # metadata only: one row a block
-    runs = F.broadcast(table.select("run").distinct())
-    asks = probes.crossJoin(runs).select("run", F.struct("prefix", "suffix").alias("key"), partition_of(F.col("prefix"), width).alias("part"), "probe")
-    empty = F.lit(None).cast("long")
-    rows = ends.select("run", "part", "key", F.lit(1).alias("kind"), empty.alias("probe"), F.struct("nth").alias("end"))
-    rows = rows.unionByName(asks.select("run", "part", "key", F.lit(0).alias("kind"), "probe", F.struct(empty.alias("nth")).alias("end")))
-    ahead = Window.partitionBy("run", "part").orderBy("key", "kind").rowsBetween(1, Window.unboundedFollowing)
-    own = rows.withColumn("own", F.first(F.when(F.col("kind") == 1, F.col("end")), ignorenulls=True).over(ahead)).where("kind = 0")
-    firsts = ends.groupBy("run", "part").agg(F.min_by(F.struct("nth"), F.struct("key")).alias("first"))
-    places = own.select("run", "part").distinct().join(firsts, ["run", "part"], "full")
-    later = Window.partitionBy("run").orderBy("part").rowsBetween(1, Window.unboundedFollowing)
-    places = places.withColumn("later", F.first("first", ignorenulls=True).over(later)).select("run", "part", "later")
-    found = own.join(places, ["run", "part"]).select("run", "probe", F.coalesce("own", "later")["nth"].alias("block"))
-    return found.where("block IS NOT NULL")
+    ends = table.select("run", _hi().alias("key"), "block", part_of_block(F.col("block")).alias("part"))
+    numbered = ranked(ends, ["run"], F.col("part"), ["key", "block"], runs * parts).select("run", "block", "rank")
+    names = F.broadcast(table.select("run").distinct())
+    asks = probes.crossJoin(names).select("run", F.struct("prefix", "suffix").alias("key"), partition_of(F.col("prefix"), width).alias("part"), "probe")
+    rows = ends.select("run", "part", "key", F.lit(1).alias("end"), F.lit(None).cast("long").alias("probe"))
+    rows = rows.unionByName(asks.select("run", "part", "key", F.lit(0).alias("end"), "probe"))
+    before = Window.partitionBy("run", "part").orderBy("key", "end").rowsBetween(Window.unboundedPreceding, -1)
+    counted = rows.withColumn("own", F.coalesce(F.sum("end").over(before), F.lit(0))).where("end = 0")
+    sizes = rows.groupBy("run", "part").agg(F.sum("end").alias("size"))
+    earlier = Window.partitionBy("run").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("run", "part", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("start"))
+    found = counted.join(F.broadcast(sizes), ["run", "part"]).select("run", "probe", (F.col("start") + F.col("own") + (n - 1)).alias("rank"))
+    return found.join(numbered, ["run", "rank"]).select("run", "probe", "block")
 
 
 def clip(windows: DataFrame, low: tuple[int, int], high: tuple[int, int]) -> DataFrame:
@@ -73,8 +72,11 @@ def clip(windows: DataFrame, low: tuple[int, int], high: tuple[int, int]) -> Dat
 def fragments(table: DataFrame, prefixes: DataFrame, width: int) -> DataFrame:
     """A row for each block and existing prefix that its range holds, with the part of the
     suffix range: from 0 and to the greatest value where a neighbour prefix takes over."""
-    held = table.withColumn("part", F.floor(F.col("block") / STRIDE)).join(prefixes.select("prefix", partition_of(F.col("prefix"), width).alias("part")), "part")
-    held = held.where("prefix BETWEEN min_prefix AND max_prefix").drop("part")
+    fine = max(1, -(-width // FINE))  # a block stays in its range partition: at most FINE + 1 pieces
+    piece = lambda c: F.floor(F.col(c) / fine).cast("long")
+    spread = table.withColumn("piece", F.explode(F.sequence(piece("min_prefix"), piece("max_prefix"))))
+    held = spread.join(prefixes.select("prefix", piece("prefix").alias("piece")), "piece")
+    held = held.where("prefix BETWEEN min_prefix AND max_prefix").drop("piece")
     lo = F.when(F.col("prefix") == F.col("min_prefix"), F.col("min_suffix")).otherwise(F.lit(0))
     hi = F.when(F.col("prefix") == F.col("max_prefix"), F.col("max_suffix")).otherwise(F.lit((1 << 63) - 1))
     return held.select("run", "block", "prefix", lo.alias("suffix_min"), hi.alias("suffix_max"), "max_seq")
@@ -107,3 +109,10 @@ def fallback(precise: DataFrame, derived: DataFrame) -> DataFrame:
     """Precise windows, and derived ones for the blocks that have no precise window."""
     named = precise.select("run", "block").distinct()
     return precise.unionByName(derived.join(named, ["run", "block"], "left_anti"))
+
+
+def meeting(windows: DataFrame) -> DataFrame:
+    """(broken, windows): how many windows start before one of their prefix and run has ended."""
+    order = Window.partitionBy("run", "prefix").orderBy("suffix_min", "suffix_max")
+    bad = (F.lag("suffix_max").over(order) >= F.col("suffix_min")).cast("long")
+    return windows.select(bad.alias("bad")).agg(F.coalesce(F.sum("bad"), F.lit(0)).alias("broken"), F.count("*").alias("windows"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.keys import at_or_after, at_or_before
+from tidemark.operators.blocks import partition_of, ranked
 from tidemark.operators.fold import KEY
 
 
@@ -51,3 +52,25 @@ def foreach_until(state: DataFrame, stop) -> DataFrame:
     if first is None:
         return state.orderBy(*KEY)
     return state.where(at_or_before(first["prefix"], first["suffix"])).orderBy(*KEY)
+
+
+def scans(state: DataFrame, asked: DataFrame, width: int, parts: int) -> DataFrame:
+    """(probe, n, last_prefix, last_suffix): for many scans (probe, prefix, suffix, n) at once,
+    how many rows each finds and the key of its last one, null if it finds none.
+
+    Rows are numbered in key order, by range partition; a scan's start is the number of rows
+    before its key, and its end is found by number, so no scan is made row by row.
+    """
+    keyed = state.select(*KEY, F.lit(0).alias("all")).withColumn("part", partition_of(F.col("prefix"), width))
+    numbered = ranked(keyed, ["all"], F.col("part"), list(KEY), parts + 1).select(F.col("prefix").alias("last_prefix"), F.col("suffix").alias("last_suffix"), "rank")
+    rows = keyed.select(*KEY, "part", F.lit(1).alias("row"), F.lit(None).cast("long").alias("probe"), F.lit(None).cast("long").alias("n"))
+    rows = rows.unionByName(asked.select(*KEY, partition_of(F.col("prefix"), width).alias("part"), F.lit(0).alias("row"), "probe", F.col("n").cast("long").alias("n")))
+    before = Window.partitionBy("part").orderBy(*KEY, "row").rowsBetween(Window.unboundedPreceding, -1)
+    counted = rows.withColumn("own", F.coalesce(F.sum("row").over(before), F.lit(0))).where("row = 0")
+    sizes = rows.groupBy("part").agg(F.sum("row").alias("size"))
+    earlier, total = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
+    sizes = sizes.select("part", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("start"), F.sum("size").over(total).alias("total"))
+    found = counted.join(F.broadcast(sizes), "part").withColumn("at", F.col("start") + F.col("own"))
+    ends = found.select("probe", F.least("n", F.col("total") - F.col("at")).alias("n"), "at")
+    ends = ends.withColumn("rank", F.when(F.col("n") > 0, F.col("at") + F.col("n") - 1))
+    return ends.join(numbered, "rank", "left").select("probe", "n", "last_prefix", "last_suffix")

@@ -40,20 +40,47 @@ def update_mode(existing: DataFrame, changed: DataFrame, least: int, most: int,
     return table.withColumn("mode", F.when((n >= least) & (c <= most) & (c * 100 <= n * percent), "cow").otherwise("bulk"))
 
 
-def at_rank(values: DataFrame, column: str, per_cent: int = 99) -> int:
+def rank_of(n: int, per_cent: int = 99) -> int:
     """Zero-based rank of the p99 rule: floor(n * 99 / 100), at most n - 1."""
-    n = values.where(F.col(column).isNotNull()).count()
     return max(0, min(n - 1, n * per_cent // 100))
 
 
+def value_at(rows: DataFrame, column: str, n: int, rank: int, most: int = 1_000_000) -> float:
+    """The value at a zero-based rank among ``n`` non-null ones.
+
+    The range that holds it is narrowed by approximate percentiles whose bounds are counted,
+    until at most ``most`` values are left to sort, or all that are left are equal.
+    """
+    v = F.col(column)
+    low, high = rows.agg(F.min(v), F.max(v)).first()
+    skipped, inside = 0, n
+    while inside > most and low < high:
+        at = (rank - skipped) / inside
+        part = rows.where(v.between(low, high))
+        a, b = part.agg(F.percentile_approx(v, [max(0.0, at - 0.01), min(1.0, at + 0.01)], F.lit(1000))).first()[0]
+        below, among = part.agg(F.count_if(v < a), F.count_if(v.between(a, b))).first()
+        if not skipped + below <= rank < skipped + below + among:
+            a, b = (low, a) if rank < skipped + below else (b, high)
+            below, among = part.agg(F.count_if(v < a), F.count_if(v.between(a, b))).first()
+        if among == inside:
+            break
+        low, high, skipped, inside = a, b, skipped + below, among
+    if low == high:
+        return low
+    return rows.where(v.between(low, high)).orderBy(v).select(v).offset(rank - skipped).limit(1).first()[0]
+
+
 def latency(values: DataFrame, column: str) -> DataFrame:
     """n, avg, p99 (the value at the zero-based rank floor(n * 99 / 100)) and the mean of
-    the values from there on.  Only the top hundredth is sorted."""
+    the values from there on, of which those above p99 are added up and the rest equal it."""
     rows = values.where(F.col(column).isNotNull()).select(F.col(column).alias("v"))
     n = rows.count()
-    top = rows.orderBy(F.desc("v")).limit(n - at_rank(values, column)) if n else rows
-    tail = top.agg(F.min("v").alias("p99"), F.avg("v").alias("top1pct_avg"))
-    return rows.agg(F.count("*").alias("n"), F.avg("v").alias("avg_v")).join(F.broadcast(tail), how="cross")
+    p99 = value_at(rows, "v", n, rank_of(n)) if n else None
+    above = F.col("v") > F.lit(p99)
+    figures = rows.agg(F.count("*").alias("n"), F.avg("v").alias("avg_v"), F.coalesce(F.sum(F.when(above, F.col("v"))), F.lit(0.0)).alias("sum"), F.count_if(above).alias("more"))
+    tail = n - rank_of(n)
+    mean = (F.col("sum") + (F.lit(tail) - F.col("more")) * F.lit(p99)) / F.lit(max(1, tail))
+    return figures.select("n", "avg_v", F.lit(p99).cast("double").alias("p99"), mean.cast("double").alias("top1pct_avg"))
 
 
 def classify_load(rows: DataFrame, by: str, is_write: Column) -> DataFrame:

@@ -13,10 +13,14 @@ RUNS, PARTS = 4, 12
 
 
 class Tables:
-    """Lazy base relations over one folder of Parquet tables."""
+    """Lazy base relations over one folder of Parquet tables.
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+    ``parts`` range partitions are the unit of parallelism of block queries; block numbers
+    depend on it.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, parts: int = PARTS):
+        self.spark, self.folder, self.parts = spark, folder, parts
 
     def __getitem__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -29,8 +33,8 @@ class Tables:
 
     @property
     def width(self) -> int:
-        """Prefixes of one of the ``PARTS`` range partitions."""
-        return self.bounds[1] // PARTS + 1
+        """Prefixes of one of the ``parts`` range partitions."""
+        return self.bounds[1] // self.parts + 1
 
     @cached_property
     def oplog(self) -> DataFrame:
@@ -65,7 +69,7 @@ class Tables:
 
     @property
     def blocks(self) -> DataFrame:
-        return blocks.cut(self.runs, self.width)
+        return blocks.cut(self.runs, self.width, runs=RUNS, parts=self.parts)
 
     @property
     def pst(self) -> DataFrame:
