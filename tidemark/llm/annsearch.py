@@ -38,19 +38,20 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     """The orthonormal Walsh-Hadamard transform of each row, by butterflies."""
     n, width = x.shape
     half = 1
-    x = x.copy()
     while half < width:
         pairs = x.reshape(n, -1, 2, half)
-        x = np.concatenate([pairs[:, :, :1] + pairs[:, :, 1:], pairs[:, :, :1] - pairs[:, :, 1:]], axis=2).reshape(n, width)
-        half *= 2
-    return x / np.sqrt(width)
+        new = np.empty_like(pairs)
+        np.add(pairs[:, :, 0], pairs[:, :, 1], out=new[:, :, 0])
+        np.subtract(pairs[:, :, 0], pairs[:, :, 1], out=new[:, :, 1])
+        x, half = new.reshape(n, width), 2 * half
+    return x * x.dtype.type(width**-0.5)
 
 
 def turned(x: np.ndarray, number: int) -> np.ndarray:
     """Dot products with all signed axes after a pseudo-rotation."""
     width = 1 << max(1, (x.shape[1] - 1).bit_length())
-    signs = np.random.default_rng([17, number, width]).choice([-1.0, 1.0], (3, width))
-    x = np.pad(x, ((0, 0), (0, width - x.shape[1])))
+    signs = np.random.default_rng([17, number, width]).choice([-1.0, 1.0], (3, width)).astype(np.float32)
+    x = np.pad(x, ((0, 0), (0, width - x.shape[1]))).astype(np.float32)
     for s in signs:
         x = hadamard(x * s)
     return np.concatenate([x, -x], axis=1)
@@ -75,26 +76,36 @@ def cells(one: np.ndarray, two: np.ndarray, probes: int) -> tuple[np.ndarray, np
 
 
 def _hashed(rows: DataFrame, tables: int, probes: int | None = None) -> DataFrame:
-    """(bucket, second, mask, vec_id, h, copy, embedding): a row's own cell in each table or,
-    with ``probes``, a query's first axes with their masks."""
+    """``rows`` with ``cells``, an array of (bucket, second, mask): a row's own cell in each
+    table or, with ``probes``, a query's first axes with their masks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for start in range(0, big.num_rows, 1024):
                 batch = big.slice(start, 1024)
                 x = unit(matrix(batch.column("embedding")))
+                rows, buckets, seconds, masks = [], [], [], []
                 for t in range(tables):
                     one, two = turned(x, 2 * t), turned(x, 2 * t + 1)
                     if probes is None:
                         row, first = np.arange(len(x)), one.argmax(axis=1)
-                        second, masks = pa.array(two.argmax(axis=1).astype(np.int32)), pa.nulls(len(x), pa.binary())
+                        seconds.append(two.argmax(axis=1))
                     else:
                         row, first, bits = cells(one, two, probes)
-                        second, masks = pa.nulls(len(row), pa.int32()), pa.array([b.tobytes() for b in bits], pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(first.astype(np.int64) * tables + t), second, masks, *[c.take(pa.array(row)) for c in batch.columns]], names=["bucket", "second", "mask", *batch.schema.names])
+                        masks += [b.tobytes() for b in bits]
+                    rows.append(row)
+                    buckets.append(first.astype(np.int64) * tables + t)
+                row = np.concatenate(rows)
+                order = np.argsort(row, kind="stable")
+                n = len(order)
+                second = pa.array(np.concatenate(seconds)[order].astype(np.int32)) if seconds else pa.nulls(n, pa.int32())
+                mask = pa.array([masks[i] for i in order.tolist()], pa.binary()) if masks else pa.nulls(n, pa.binary())
+                each = pa.StructArray.from_arrays([pa.array(np.concatenate(buckets)[order]), second, mask], names=["bucket", "second", "mask"])
+                ends = np.searchsorted(row[order], np.arange(len(x) + 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(ends), each)], names=[*batch.schema.names, "cells"])
 
     kind = rows.schema["embedding"].dataType.simpleString()
-    return rows.select("vec_id", "h", "copy", "embedding").mapInArrow(run, f"bucket long, second int, mask binary, vec_id long, h long, copy int, embedding {kind}")
+    return rows.select("vec_id", "h", "copy", "embedding").mapInArrow(run, f"vec_id long, h long, copy int, embedding {kind}, cells array<struct<bucket: long, second: int, mask: binary>>")
 
 
 def best_of(ids: np.ndarray, x: np.ndarray, second: np.ndarray, q: np.ndarray, masks: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -156,15 +167,17 @@ def _ranked(k: int):
 
 def _search(rows: DataFrame, queries: DataFrame, k: int, tables: int, probes: int, most: int = 16_384) -> DataFrame:
     """The k best (query_id, query_h, vec_id, h, copy, score) of each bucket and query, with repeats."""
-    index, asked = _hashed(rows, tables), _hashed(queries, tables, probes)
-    sizes = index.groupBy("bucket").agg(F.ceil(F.count("*") / most).cast("int").alias("salts"))
-    asks = asked.groupBy("bucket").agg(F.ceil(F.count("*") / most).cast("int").alias("query_salts"))
-    parts = sizes.join(asks, "bucket")
+    # Stored, because sizes and rows read them both.
+    index, asked = stored(_hashed(rows, tables), "index"), stored(_hashed(queries, tables, probes), "asked")
+    counted = lambda df, name: df.select(F.explode("cells.bucket").alias("bucket")).groupBy("bucket").agg(F.ceil(F.count("*") / most).cast("int").alias(name))
+    # One row for each table and first axis: bounded by the dimension, whatever the rows.
+    parts = F.broadcast(counted(index, "salts").join(F.broadcast(counted(asked, "query_salts")), "bucket"))
+    spread = lambda df: df.select("vec_id", "h", "copy", "embedding", F.inline("cells")).join(parts, "bucket")
     own = lambda name: F.pmod(F.xxhash64("vec_id", "h", "copy"), F.col(name)).cast("int")
     each = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
     columns = ["second", "mask", "vec_id", "h", "copy", "embedding"]
-    here = index.join(parts, "bucket").select("bucket", own("salts").alias("salt"), each("query_salts").alias("query_salt"), F.lit(False).alias("asks"), *columns)
-    there = asked.join(parts, "bucket").select("bucket", each("salts").alias("salt"), own("query_salts").alias("query_salt"), F.lit(True).alias("asks"), *columns)
+    here = spread(index).select("bucket", own("salts").alias("salt"), each("query_salts").alias("query_salt"), F.lit(False).alias("asks"), *columns)
+    there = spread(asked).select("bucket", each("salts").alias("salt"), own("query_salts").alias("query_salt"), F.lit(True).alias("asks"), *columns)
     group = ["bucket", "salt", "query_salt"]
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     both = here.unionByName(there).repartition(tasks, *group).sortWithinPartitions(*group, F.desc("asks"))
