@@ -96,7 +96,7 @@ def test_lm_counts_are_exact_and_probabilities_sum_to_one(spark, sf):
             ends += 1
     n, v = sum(c.values()) + ends, len(c) + 1
     base = lambda k: math.log10((k + 1) / (n + v + 1))
-    for head, indexed in ((1500, 100_000), (50, 300)):
+    for head, indexed in ((2000, 100_000), (50, 300)):
         got = {r.doc_id: r for r in lmscore.score(table(spark, sf, "documents"), head=head, indexed=indexed, small=10).collect()}
         assert len(got) == len(docs)
         for i, t in docs.items():
@@ -107,12 +107,43 @@ def test_lm_counts_are_exact_and_probabilities_sum_to_one(spark, sf):
         assert sum(r.score for r in test) > sum(r.base_score for r in test)
 
 
-def test_trained_rows_are_distributions():
-    counts = np.zeros(36)
-    counts[[0 * 6 + 1, 1 * 6 + 2, 2 * 6 + 0, 3 * 6 + 4]] = 50, 50, 50, 10
-    table_ = lmscore.train(counts, 6, steps=400)
-    assert np.allclose((10.0 ** table_.astype(float)).sum(axis=1), 1, atol=1e-4)
-    assert table_[0].argmax() == 1 and table_[1].argmax() == 2 and table_[2].argmax() == 0
+def test_normalisers_and_contexts():
+    rng = np.random.default_rng(0)
+    found = np.array([[0, 1, 2], [1, 2, 0], [3, 1, 4], [0, 0, 1]])[rng.integers(0, 4, 4000)]
+    n = lmscore.train(found, 6)
+    z = n.normalisers()
+    for x in range(6):
+        for y in range(6):
+            energy = (n.r[x] @ n.c1 + n.r[y] @ n.c2) @ n.q.T + n.b
+            assert np.log(np.exp(energy.astype(float)).sum()) == pytest.approx(z[x, y], abs=1e-4)
+    after = lambda y, x: int(((n.r[x] @ n.c1 + n.r[y] @ n.c2) @ n.q.T + n.b).argmax())
+    assert (after(0, 1), after(1, 2), after(3, 1), after(0, 0)) == (2, 0, 4, 1)  # the farther class tells 2 from 4
+
+
+def test_scores_token_by_token(spark, sf):
+    """The model's softmax over all classes, one token at a time, for every text."""
+    docs = table(spark, sf, "documents")
+    counts = lmscore.word_counts(docs)
+    size = {"head": 60, "tails": 7, "indexed": 200}
+    fitted = lmscore.fit(docs, counts, **size, per_root=400, most_examples=20_000)
+    n, k = fitted.network, fitted.classes
+    c = {bytes(r.word): r.c for r in counts.collect()}
+    head = sorted((w for w in c if w), key=lambda w: (-c[w], w))[:60]
+    tail_of = lambda w: zlib.crc32(w[-2:]) % 7
+    mass = [1 + sum(c[w] + 1 for w in c if w and w not in set(head) and tail_of(w) == t) for t in range(7)]
+    number = {w: i + 1 for i, w in enumerate(head)}
+    texts, logs = {d.doc_id: (d.text or "").encode().lower().split() for d in docs.collect()}, {}
+    for r in lmscore.score(docs, **size, per_root=400, most_examples=20_000).collect():
+        want, y, x = 0.0, 0, 0
+        for w in [*texts[r.doc_id], b""]:
+            t = 0 if not w else number.get(w, 61 + tail_of(w))
+            if (x, y) not in logs:
+                e = ((n.r[x] @ n.c1 + n.r[y] @ n.c2) @ n.q.T + n.b).astype(float)
+                logs[x, y] = (e - np.logaddexp.reduce(e)) / np.log(10)
+            want += logs[x, y][t] + (math.log10((c.get(w, 0) + 1) / mass[t - 61]) if t >= 61 else 0)
+            x, y = t, x
+        assert r.score == pytest.approx(want, rel=1e-4, abs=1e-3)
+    assert k.size == 68
 
 
 def test_odd_rows(spark, weird, no_rows, some_labels):
