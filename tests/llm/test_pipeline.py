@@ -38,10 +38,11 @@ def without_repeats(docs):
     first = {}
     for i, t in sorted(docs.items()):
         for p, x in enumerate(t.split("\n")):
-            if len(x) >= 20 and x.strip(" "):
+            if x.strip(" "):
                 first.setdefault(x, (i, p))
     order = sorted(first, key=first.get)
-    later = {x for k, x in enumerate(order) if any(near(y, x, 2) for y in order[:k])}
+    long = [x for x in order if len(x) > 9]
+    later = {x for k, x in enumerate(long) if any(near(y, x, 2) for y in long[:k])}
     keep = lambda i, p, x: x not in first or (x not in later and first[x] == (i, p))
     return {i: "\n".join(x for p, x in enumerate(t.split("\n")) if keep(i, p, x)) for i, t in docs.items()}
 
@@ -89,3 +90,44 @@ def test_stages(spark, sf):
     digest = lambda rows: hashlib.sha256(str(sorted((r.doc_id, r.piece, r.length, r.ids_crc32) for r in rows)).encode()).hexdigest()
     assert digest(pipeline.run(spark, sf).collect()) == digest(packed)
     assert np.mean([v / 1024 for v in fill.values()]) > 0.8
+
+
+ROWS = [
+    (1, None, "en", "s", 0, "x", 1.0),
+    (2, "", "en", "s", 0, "x", 1.0),
+    (3, " \n\t ", None, None, 3, None, None),
+    (4, "the cat sat on the mat and looked at the dog for a while", "en", "s", 1, "x", 1.0),
+    (4, "the cat sat on the mat and looked at the dog for a while", "en", "s", 1, "x", 1.0),
+    (4, "the cat sat on the mat and looked at the dog for a while", "en", "t", 1, "x", 1.0),
+    (5, "the cat sat on the mat and looked at the dog for a while", "en", "s", 1, "x", 1.0),
+    (None, "the cat sat on the mat and looked at the dog for a while", "en", "s", 1, "x", 1.0),
+    (None, "a row without an id, but with a text of its own to look at", "en", "s", 1, "x", 1.0),
+    (None, "a row without an id, but with a text of its own to look at", "en", "s", 1, "x", 1.0),
+    (7, "word " * 20_000, "en", "s", 1, "x", 1.0),
+]
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, places string, score double"
+
+
+def test_odd_rows_in_every_stage(spark, sf):
+    """Nulls, empty and long texts, repeated rows, ties, and columns with the operators' names."""
+    odd = spark.createDataFrame(ROWS, SCHEMA)
+    for name in ("_row", "r1", "fp", "links", "n_links", "n_removed", "lang_pred", "held_out", "predicted", "group", "h"):
+        odd = odd.withColumn(name, odd.places)
+    none, stages = odd.limit(0), dict(pipeline.STAGES)
+    for name, stage in pipeline.STAGES:
+        rows = stage(spark, odd, sf)
+        assert stage(spark, none, sf).count() == 0
+        if name != "packing":
+            assert rows.schema.simpleString() == odd.schema.simpleString()
+            assert all(r["r1"] == r["places"] and r["score"] in (1.0, None) for r in rows.collect())
+    kept = [(r.doc_id, r.text) for r in stages["language"](spark, odd, sf).collect()]
+    assert not {1, 2, 3} & {i for i, _ in kept}
+    texts = [(r.doc_id, r.text) for r in stages["lines"](spark, odd, sf).collect()]
+    assert len(texts) == len(ROWS) and (1, None) in texts and (3, ROWS[2][1]) in texts
+    assert sum(t == ROWS[3][1] for _, t in texts) == 1 and sum(t == ROWS[8][1] for _, t in texts) == 1
+    groups = [(r.doc_id, r.text, r.source) for r in stages["near_duplicates"](spark, odd, sf).collect()]
+    assert sum(t == ROWS[3][1] for _, t, _ in groups) == 1 and sum(t == ROWS[8][1] for _, t, _ in groups) == 1
+    assert [i for i, t, _ in groups if t == ROWS[3][1]] == [4]
+    assert sum(not (t or "").strip() for _, t, _ in groups) == 1  # null, empty and white texts share a fingerprint
+    packed = stages["packing"](spark, odd, sf)
+    assert packed.where("piece = 0").count() == len(ROWS)

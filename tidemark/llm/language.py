@@ -145,13 +145,18 @@ def fit(texts: list[str], languages: list[str], landmarks: int = 48, ridge: floa
     return model
 
 
-def train(documents: DataFrame, fit_rows: int = 500, landmarks: int = 48, longest: int = 20_000) -> Model | None:
-    """Fit on about ``fit_rows`` training rows of each language; texts above ``longest``
-    characters are no training rows, so the sample's bytes are bounded."""
+def sample(documents: DataFrame, fit_rows: int = 500, characters: int = 10_000_000) -> tuple[list[str], list[str]]:
+    """Texts and languages of about ``fit_rows`` training rows of each language, fewer where
+    they hold more than about ``characters`` characters: what the driver gets is bounded."""
     known = documents.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    known = known.where(training_rows("doc_id", 3, 1) & (F.length("text") <= longest))
-    sample = drawn(known, "doc_id", fit_rows, "lang").toPandas().sort_values(["doc_id", "text", "lang"])
-    return fit(sample["text"].tolist(), sample["lang"].tolist(), landmarks)
+    known = known.where(training_rows("doc_id", 3, 1))
+    rows = drawn(known, "doc_id", fit_rows, "lang", "text", characters).toPandas().sort_values(["doc_id", "text", "lang"])
+    return rows["text"].tolist(), rows["lang"].tolist()
+
+
+def train(documents: DataFrame, fit_rows: int = 500, landmarks: int = 48) -> Model | None:
+    """Fit on a bounded sample of the training rows."""
+    return fit(*sample(documents, fit_rows), landmarks)
 
 
 SCHEMA = "lang_pred string, score double"

@@ -11,7 +11,7 @@ from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
@@ -39,12 +39,14 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``; only where that is unset (tests on
-    one machine) a temporary folder is used.
+    A cluster names it in ``spark.checkpoint.dir``; only where that is unset, and driver and
+    executors are one process, a temporary folder is used.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     folder = os.path.join(tempfile.gettempdir(), "tidemark-shared")
     os.makedirs(folder, exist_ok=True)
     return f"file://{folder}"
@@ -70,6 +72,16 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keyed(documents: DataFrame) -> DataFrame:
+    """(r1, r2, doc_id, text, row): 128 bits that name a row by all its columns, and the row."""
+    cols: list[Column] = []
+    for f in documents.schema:
+        value = F.col(f"`{f.name}`")
+        cols += [F.to_json(F.struct(value)) if "map<" in f.dataType.simpleString() else value, value.isNull()]  # hashes skip nulls
+    row = F.struct(*[F.col(f"`{c}`") for c in documents.columns])
+    return documents.select(F.xxhash64(*cols).alias("r1"), F.xxhash64(F.lit("second"), *cols).alias("r2"), "doc_id", "text", row.alias("row"))
+
+
 def dropped(df: DataFrame) -> None:
     """Delete a table that ``stored`` wrote, once nothing reads it any more."""
     spark = df.sparkSession

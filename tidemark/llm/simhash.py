@@ -13,7 +13,7 @@ anchor with more than ``most_home`` fingerprints at home is split over several t
 
 Defined results: a text that is null or has no words has fingerprint zero and links with
 other zeros; texts below three words hash as one shingle; equal ids stay separate rows;
-texts without any id have no component.
+rows without an id link like others, and a group in which no row has one has no component.
 """
 
 from __future__ import annotations
@@ -48,16 +48,18 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(2 * total > n).view(">u8")[0])
 
 
-def fingerprints(documents: DataFrame) -> DataFrame:
-    """(doc_id, fp) of every whole text; fp holds the 64 bits as a signed long."""
+def fingerprints(documents: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """(doc_id, fp) and the long columns ``keep`` of every whole text; fp holds the 64 bits
+    as a signed long."""
     ship(documents.sparkSession)
+    names = ["doc_id", *(keep or [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches, "text"):
             fps = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(fps)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).cast(pa.int64()) for c in names], pa.array(fps)], names=[*names, "fp"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return documents.select(*names, "text").mapInArrow(run, ", ".join(f"{c} long" for c in [*names, "fp"]))
 
 
 def anchors_of(half: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -167,11 +169,19 @@ def links(distinct: DataFrame, threshold: int = 3, most_home: int = 8192) -> Dat
     return grouped.repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(_compare(threshold), "a long, b long")
 
 
+def groups(prints: DataFrame, threshold: int = 3) -> DataFrame:
+    """(fp, group): fingerprints that links join have one group, named by one of them."""
+    distinct = prints.select("fp").distinct().select("fp", F.col("fp").alias("rep"))
+    linked = components(links(distinct, threshold))
+    # As a table, so that the join with all prints is one that Spark splits where it is skewed.
+    return stored(distinct.join(linked, distinct.rep == linked.node, "left").select("fp", F.coalesce("component", "fp").alias("group")), "groups")
+
+
 def near_duplicates(documents: DataFrame, threshold: int = 3) -> DataFrame:
     """(doc_id, fingerprint, component_id): the smallest doc_id that links reach."""
-    found = stored(fingerprints(documents), "fingerprints")
-    distinct = found.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    groups = components(links(distinct, threshold))
-    named = distinct.join(groups, distinct.rep == groups.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    prints = stored(fingerprints(documents), "fingerprints")
+    named = groups(prints, threshold)
+    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least")).join(named, "fp").groupBy("group").agg(F.min("least").alias("component_id"))
+    of = stored(named.join(least, "group").select("fp", "component_id"), "components")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
-    return found.join(named, "fp", "left").select("doc_id", hexed, "component_id")
+    return prints.join(of, "fp", "left").select("doc_id", hexed, "component_id")

@@ -28,19 +28,22 @@ def runs(texts: list[str], most: int = 1 << 20) -> Iterator[tuple[int, list[str]
         yield start, texts[start:]
 
 
-def drawn(rows: DataFrame, id_column: str, most: int, by: str | None = None) -> DataFrame:
-    """About ``most`` rows (of each value of ``by``), chosen by a hash of the id.
+def drawn(rows: DataFrame, id_column: str, most: int, by: str | None = None, text: str | None = None, characters: int = 0) -> DataFrame:
+    """About ``most`` rows (of each value of ``by``), chosen by a hash of the id; with ``text``,
+    fewer where those would hold more than about ``characters`` characters.
 
     The choice doesn't depend on order or partitions.  Only counts reach the driver.  The
     last limit only guards against one id that stands on very many rows.
     """
     position = F.pmod(F.xxhash64(F.lit(7), F.col(id_column)), F.lit(1 << 30)) / float(1 << 30)
+    size = F.sum(F.length(text)) if text else F.lit(0)
+    part = lambda n, held: min(most / max(1, n), characters / held if text and held else 1.0)
     if by is None:
-        share: Column = F.lit(most / max(1, rows.count()))
+        share: Column = F.lit(part(*rows.agg(F.count("*"), size).first()))
         classes = 1
     else:
-        counts = rows.where(F.col(by).isNotNull()).groupBy(by).count().collect()
+        counts = rows.where(F.col(by).isNotNull()).groupBy(by).agg(F.count("*"), size).collect()
         share, classes = F.lit(0.0), max(1, len(counts))
-        for value, n in counts:
-            share = F.when(F.col(by) == F.lit(value), F.lit(most / n)).otherwise(share)
+        for value, n, held in counts:
+            share = F.when(F.col(by) == F.lit(value), F.lit(part(n, held))).otherwise(share)
     return rows.where(position < share).limit(2 * most * classes)
