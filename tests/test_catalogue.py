@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+import tidemark.plans.lifecycle  # noqa: F401  registers its queries
 import tidemark.plans.storeplans  # noqa: F401  registers its queries
 from tidemark.plans.catalogue import QUERIES, SQL
 from tidemark.sources.tables import Tables

@@ -116,3 +116,11 @@ def meeting(windows: DataFrame) -> DataFrame:
     order = Window.partitionBy("run", "prefix").orderBy("suffix_min", "suffix_max")
     bad = (F.lag("suffix_max").over(order) >= F.col("suffix_min")).cast("long")
     return windows.select(bad.alias("bad")).agg(F.coalesce(F.sum("bad"), F.lit(0)).alias("broken"), F.count("*").alias("windows"))
+
+
+def obsolete(table: DataFrame, inputs: DataFrame, blocks: DataFrame, records: DataFrame) -> DataFrame:
+    """Tables named by the first of three sources (run, block) that names any."""
+    for source in (inputs, blocks, records):
+        if not source.isEmpty():
+            return table.join(source.select("run", "block").distinct(), ["run", "block"], "left_semi")
+    return table.limit(0)

@@ -57,8 +57,10 @@ class Files:
 
 def scratch(spark: SparkSession, what: str) -> str:
     """A fresh folder in the shared folder that ``spark.checkpoint.dir`` names; a local
-    temporary one only where that is unset."""
+    temporary one only where that is unset and all runs in one process."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     root = named.rstrip("/") if named else f"file://{os.path.join(tempfile.gettempdir(), 'tidemark-shared')}"
     path = f"{root}/{what}-{uuid.uuid4().hex}"
     Files(spark).delete_at_end(path)

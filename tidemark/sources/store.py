@@ -26,6 +26,44 @@ from tidemark.sources.files import Files
 SCHEMA = "seq long, prefix long, suffix long, is_delete boolean, value double"
 
 
+#: Fixed value: runs that the ring of level 0 holds.
+RING = 31
+
+
+@dataclass
+class Config:
+    """Policies of a store.
+
+    The stall threshold is kept within the ring.  Modes move thresholds, they don't reject
+    writes: a read-only load flushes at once, a read-optimised one compacts at one run.
+    """
+
+    compact_at: int = 4
+    stall_at: int = RING
+    flush_at: int = 4096
+    compaction_enabled: bool = True
+    read_only: bool = False
+    read_optimized: bool = False
+
+    def __post_init__(self):
+        self.stall_at = min(max(1, self.stall_at), RING)
+
+    def adapt(self, write_ratio: float) -> None:
+        """Modes for a load by its share of writes; a negative share is no load."""
+        if write_ratio >= 0:
+            self.read_only = write_ratio == 0
+            self.read_optimized = write_ratio <= 0.5
+
+    def flush_due(self, entries: int) -> bool:
+        return entries >= (1 if self.read_only else self.flush_at)
+
+    def compaction_due(self, runs: int) -> bool:
+        return self.compaction_enabled and runs >= (1 if self.read_optimized else self.compact_at)
+
+    def stalled(self, runs: int) -> bool:
+        return runs >= self.stall_at
+
+
 @dataclass
 class Pointer:
     version: int = 0
@@ -55,8 +93,9 @@ class Pointer:
 class Store:
     """``trip`` is called with the name of each step; tests raise there to crash."""
 
-    def __init__(self, spark: SparkSession, path: str, compact_at: int = 4, tasks: int | None = None, trip: Callable[[str], None] = lambda _: None):
-        self.spark, self.path, self.compact_at, self.trip = spark, path, compact_at, trip
+    def __init__(self, spark: SparkSession, path: str, compact_at: int = 4, tasks: int | None = None, trip: Callable[[str], None] = lambda _: None, config: Config | None = None):
+        self.spark, self.path, self.trip = spark, path, trip
+        self.config = config or Config(compact_at=compact_at)
         self.tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.files = Files(spark)
         self.now = self._recovered()
@@ -159,9 +198,10 @@ class Store:
         return True
 
     def maintain(self) -> None:
-        """Flush, and compact once enough runs stand in level 0."""
+        """Flush, and compact once enough runs stand in level 0; a store at its stall
+        threshold compacts whatever the other policies say."""
         self.flush()
-        if len(self.now.runs) >= self.compact_at:
+        if self.config.compaction_due(len(self.now.runs)) or self.config.stalled(len(self.now.runs)):
             self.compact()
 
     def collect(self) -> list[str]:
