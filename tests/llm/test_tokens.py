@@ -90,7 +90,7 @@ def test_units_equal_library_on_odd_texts():
 def test_sum_of_squares_takes_the_least_sum():
     rng = np.random.default_rng(0)
     lengths = rng.integers(1, 21, 300)
-    bins, offsets = packing.sum_of_squares(lengths, 20)
+    bins, number = packing.sum_of_squares(lengths, 20, np.argsort(-lengths, kind="stable"))
     gaps, made = {}, 0
     for i in np.argsort(-lengths, kind="stable"):
         size, options = int(lengths[i]), []
@@ -102,11 +102,43 @@ def test_sum_of_squares_takes_the_least_sum():
                 after.remove(gap)
             after.append(gap - size)
             options.append((sum(after.count(g) ** 2 for g in range(1, 20)), gap))
-        chosen = 20 - int(offsets[i])
+        chosen = gaps.get(int(bins[i]), 20)
         assert chosen == min(options)[1]
         made = max(made, int(bins[i]) + 1)
         gaps[int(bins[i])] = chosen - size
-    assert made == len(gaps)
+    assert made == len(gaps) == number
+
+
+def test_rounds_leave_fewer_sequences_and_keep_every_piece():
+    rng = np.random.default_rng(4)
+    lengths = np.minimum(1024, rng.integers(1, 700, 5000) * rng.integers(1, 3, 5000))
+    once, made = packing.sum_of_squares(lengths, 1024, np.argsort(-lengths, kind="stable"))
+    bins = packing.improved(lengths, 1024)
+    fill = np.bincount(bins, weights=lengths)
+    assert fill.max() <= 1024 and fill.min() > 0 and len(fill) <= made
+    assert len(fill) <= 1.004 * lengths.sum() / 1024 + 1
+    at = packing.offsets(lengths, bins)
+    for b in range(0, len(fill), 97):
+        spans = sorted(zip(at[bins == b].tolist(), lengths[bins == b].tolist(), strict=True))
+        assert [s for s, _ in spans] == np.r_[0, np.cumsum([n for _, n in spans])[:-1]].tolist()
+    assert len(packing.improved(lengths[:0], 1024)) == 0 and packing.improved(lengths[:1], 1024).tolist() == [0]
+
+
+def test_groups_cost_little(spark):
+    """Pieces on both sides of a group's boundary: two groups need hardly more than one."""
+    rng = np.random.default_rng(5)
+    rows = spark.createDataFrame([(i, 0, 0, int(n), 0) for i, n in enumerate(rng.integers(1, 900, 4000))], packing.PIECES)
+    count = lambda most: packing.pack(rows, group_pieces=most).select("sequence_id").distinct().count()
+    whole = count(4000)
+    assert count(2000) <= 1.008 * whole + 1 and count(3999) <= 1.008 * whole + 1  # 0.6 % here, with groups this small
+    packed = packing.pack(rows, group_pieces=300).collect()
+    spans = {}
+    for r in packed:
+        spans.setdefault(r.sequence_id, []).append((r["offset"], r.length))
+    assert len(packed) == 4000 and len(spans) <= 1.02 * whole
+    for parts in spans.values():
+        parts.sort()
+        assert [a for a, _ in parts] == np.r_[0, np.cumsum([n for _, n in parts])[:-1]].tolist() and sum(n for _, n in parts) <= 1024
 
 
 def test_odd_rows(spark, weird, no_rows):

@@ -8,8 +8,11 @@ whole, and texts with a special token's string by the library itself.
 
 Packing: an open sequence has a residual gap; N(g) counts open sequences with gap g.
 Each piece goes where the sum of N(g) squared becomes smallest, into an open sequence or
-a new one; equal sums go to the tightest gap.  Pieces are dealt to groups of about
-``group_pieces`` by hash, each packed by itself, so a group never grows with the input.
+a new one; equal sums go to the tightest gap.  Pieces come longest first.  What that leaves
+open is then packed again by the same rule, together with some full sequences and in random
+order, for a few rounds; a round counts if it needs fewer sequences.  Pieces are dealt to
+groups of about ``group_pieces`` by hash, each packed by itself, so a group never grows with
+the input; what all groups leave open is packed once more.
 
 Defined results: a null or empty text is one piece that holds only the end id; a
 document above ``capacity`` is cut into pieces of that length, the first may be shorter;
@@ -133,13 +136,13 @@ def pieces(documents: DataFrame, vocabulary_path: str, end_id: int = 2, capacity
     return documents.select("doc_id", "text").mapInArrow(run, PIECES)
 
 
-def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """(sequence number, offset) of each length, taken longest first."""
-    bins, offsets = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+def sum_of_squares(lengths: np.ndarray, capacity: int, order: np.ndarray) -> tuple[np.ndarray, int]:
+    """(sequence number of each length, number of sequences), lengths taken in ``order``."""
+    bins = np.zeros(len(lengths), np.int64)
     count = np.zeros(capacity + 1, np.int64)  # N(g); the last stands for a new sequence
     open_at: list[list[int]] = [[] for _ in range(capacity + 1)]
     made = 0
-    for i in np.argsort(-lengths, kind="stable").tolist():
+    for i in order.tolist():
         size = int(lengths[i])
         if size >= capacity:
             bins[i], made = made, made + 1
@@ -157,25 +160,78 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
         else:
             number = open_at[gap].pop()
             count[gap] -= 1
-        bins[i], offsets[i] = number, capacity - gap
+        bins[i] = number
         left = gap - size
         if left:
             open_at[left].append(number)
             count[left] += 1
-    return bins, offsets
+    return bins, made
+
+
+def improved(lengths: np.ndarray, capacity: int, rounds: int = 8, seed: int = 3) -> np.ndarray:
+    """Sequence numbers of lengths, longest first, after rounds of packing open ones again."""
+    bins, made = sum_of_squares(lengths, capacity, np.argsort(-lengths, kind="stable"))
+    rng = np.random.default_rng(seed)
+    for _ in range(rounds):
+        fill = np.bincount(bins, weights=lengths, minlength=made)
+        opened, full = np.flatnonzero(fill < capacity), np.flatnonzero(fill == capacity)
+        if made * capacity - fill.sum() < capacity:
+            break  # one sequence less couldn't hold everything
+        again = np.zeros(made, bool)
+        again[opened] = again[rng.choice(full, min(3 * len(opened), len(full)), replace=False)] = True
+        some = np.flatnonzero(again[bins])
+        new, needed = sum_of_squares(lengths[some], capacity, rng.permutation(len(some)))
+        if needed < again.sum():
+            numbers = np.cumsum(~again) - 1
+            bins = numbers[bins]
+            made = int((~again).sum()) + needed
+            bins[some] = new + made - needed
+    return bins
+
+
+def offsets(lengths: np.ndarray, bins: np.ndarray) -> np.ndarray:
+    """Places of the lengths in their sequences, one behind the other."""
+    order = np.argsort(bins, kind="stable")
+    ends = np.cumsum(lengths[order])
+    first = np.searchsorted(bins[order], bins[order])
+    out = np.zeros(len(lengths), np.int64)
+    out[order] = ends - lengths[order] - (ends - lengths[order])[first]
+    return out
 
 
 def pack(pieces_df: DataFrame, capacity: int = 1024, group_pieces: int = 65_536) -> DataFrame:
-    """Give every piece a sequence and an offset in it."""
-    table = stored(pieces_df, "pieces")
-    groups = max(1, -(-table.count() // group_pieces))
+    """Give every piece a sequence and an offset in it.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "piece"], ignore_index=True)
-        number, offset = sum_of_squares(pdf["length"].to_numpy(), capacity)
-        pdf["sequence_id"] = (pdf["packing_group"].to_numpy().astype(np.int64) << 32) + number
-        pdf["offset"] = offset
+    What the groups leave open is packed once more in groups of its own, so that groups cost
+    little; its new sequences have negative numbers.
+    """
+    fields = f"{PIECES}, sequence_id long, offset long"
+
+    def placed(pdf: pd.DataFrame, bins: np.ndarray, ids: np.ndarray) -> pd.DataFrame:
+        pdf["sequence_id"], pdf["offset"] = ids, offsets(pdf["length"].to_numpy(), bins)
         return pdf.drop(columns="packing_group")
 
-    dealt = table.withColumn("packing_group", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)).cast("int"))
-    return dealt.groupBy("packing_group").applyInPandas(run, f"{PIECES}, sequence_id long, offset long")
+    def first(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["doc_id", "piece"], ignore_index=True)
+        lengths = pdf["length"].to_numpy()
+        bins = improved(lengths, capacity)
+        out = placed(pdf, bins, (pdf["packing_group"].to_numpy().astype(np.int64) << 32) + bins)
+        out["full"] = (np.bincount(bins, weights=lengths) == capacity)[bins]
+        return out
+
+    def second(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["sequence_id", "offset"], ignore_index=True)
+        ids, old = np.unique(pdf["sequence_id"].to_numpy(), return_inverse=True)
+        bins = improved(pdf["length"].to_numpy(), capacity)
+        if bins.max() + 1 >= len(ids):
+            return placed(pdf, old, ids[old])
+        return placed(pdf, bins, -1 - (pdf["packing_group"].to_numpy().astype(np.int64) << 32) - bins)
+
+    def dealt(df: DataFrame, *by: str) -> DataFrame:
+        groups = max(1, -(-df.count() // group_pieces))
+        return df.withColumn("packing_group", F.pmod(F.xxhash64(*by), F.lit(groups)).cast("int")).groupBy("packing_group")
+
+    table = stored(pieces_df, "pieces")
+    once = stored(dealt(table, "doc_id", "piece").applyInPandas(first, f"{fields}, full boolean"), "packed")
+    again = dealt(once.where("NOT full").drop("full"), "sequence_id").applyInPandas(second, fields)
+    return once.where("full").drop("full").unionByName(again)
