@@ -110,7 +110,7 @@ def test_lm_counts_are_exact_and_probabilities_sum_to_one(spark, sf):
 def test_normalisers_and_contexts():
     rng = np.random.default_rng(0)
     found = np.array([[0, 1, 2], [1, 2, 0], [3, 1, 4], [0, 0, 1]])[rng.integers(0, 4, 4000)]
-    n = lmscore.train(found, 6)
+    n = lmscore.train((found[:, 0] * 6 + found[:, 1]) * 6 + found[:, 2], 6)
     z = n.normalisers()
     for x in range(6):
         for y in range(6):
