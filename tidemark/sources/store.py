@@ -17,7 +17,7 @@ import zlib
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import fold
@@ -159,9 +159,11 @@ class Store:
             return False
         batch = self.now.next_id if batch is None else batch
         folder = f"{self.path}/oplog/batch={batch}"
-        ops.select("seq", "prefix", "suffix", "is_delete", "value").write.mode("overwrite").parquet(folder)
+        seen = Observation()  # the greatest seq comes with the write, without a second read
+        rows = ops.select("seq", "prefix", "suffix", "is_delete", "value").observe(seen, F.max("seq").alias("top"))
+        rows.write.mode("overwrite").parquet(folder)
         self.trip("after_log")
-        top = self._read(f"oplog/batch={batch}").agg(F.max("seq")).first()[0]
+        top = seen.get["top"]
         seq = self.now.next_seq if top is None else max(self.now.next_seq, top + 1)
         self._commit(self._changed(batches=[*self.now.batches, batch], next_seq=seq, next_id=max(self.now.next_id, batch + 1)))
         return True
