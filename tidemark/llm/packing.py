@@ -9,8 +9,8 @@ whole, and texts with a special token's string by the library itself.
 Packing: an open sequence has a residual gap; N(g) counts open sequences with gap g.
 Each piece goes where the sum of N(g) squared becomes smallest, into an open sequence or
 a new one; equal sums go to the tightest gap.  Pieces come longest first.  What that leaves
-open is then packed again by the same rule, together with some full sequences and in random
-order, for a few rounds; a round counts if it needs fewer sequences.  Pieces are dealt to
+open is then packed again by the same rule and order, together with some full sequences drawn
+at random, for a few rounds; a round counts if it needs fewer sequences.  Pieces are dealt to
 groups of about ``group_pieces`` by hash, each packed by itself, so a group never grows with
 the input; what all groups leave open is packed once more.
 
@@ -180,7 +180,7 @@ def improved(lengths: np.ndarray, capacity: int, rounds: int = 8, seed: int = 3)
         again = np.zeros(made, bool)
         again[opened] = again[rng.choice(full, min(3 * len(opened), len(full)), replace=False)] = True
         some = np.flatnonzero(again[bins])
-        new, needed = sum_of_squares(lengths[some], capacity, rng.permutation(len(some)))
+        new, needed = sum_of_squares(lengths[some], capacity, np.argsort(-lengths[some], kind="stable"))
         if needed < again.sum():
             numbers = np.cumsum(~again) - 1
             bins = numbers[bins]
