@@ -37,9 +37,10 @@ _UNIT = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 
 
 class Codec(dict):
-    """Maps a unit to (its ids as b"1,2,", its decoded bytes); ``learn`` adds what is missing."""
+    """Maps a token, a word after a space or a newline and the word after it, to its ids as
+    b"1,2,".  ``apart`` does so for the units of texts whose white space isn't as plain."""
 
-    def __init__(self, model: bytes, most_units: int = 800_000, longest_kept: int = 64):
+    def __init__(self, model: bytes, most_units: int = 1_600_000, longest_kept: int = 64):
         super().__init__()
         import sentencepiece
 
@@ -69,6 +70,7 @@ class Codec(dict):
         probe = lib.encode("  a  ")
         if "".join(names[i] for i in probe) != f"{MARK * 3}a{MARK * 2}":
             raise ValueError("the vocabulary normalises white space; only identity normalisation is supported")
+        self.apart: dict[str, bytes] = {}
         self.unchecked: list[tuple[str, list[int]]] = []
         self._pair_table(size, place)
 
@@ -209,17 +211,18 @@ class Codec(dict):
         """What ids stand for, before the leading space of the text is taken off."""
         return b"".join([self.bytes_of[i] for i in ids])
 
-    def learn(self, units: set[str]) -> None:
-        """Encode units and keep them.  Before, everything goes if there would be too many."""
-        short = sorted([u for u in units if len(u) <= SHORT and not self.shared.search(u)] if self.plain else [], key=len)
-        found = [(u, self.merge(u)) for u in units.difference(short)]
+    def written(self, units: list[str]) -> list[bytes]:
+        """Ids of units as b"1,2,"; each unit's ids are compared with the library's, and what
+        they decode to with the unit."""
+        short = sorted({u for u in units if 0 < len(u) <= SHORT and not self.shared.search(u)} if self.plain else (), key=len)
+        found = {u: self.merge(u) for u in set(units).difference(short) if u}
         for start in range(0, len(short), ROWS):
             part = short[start : start + ROWS]
-            found += zip(part, self.agendas(part), strict=True)
-        for unit, ids in found:
-            self[unit] = b"".join([self.digits[i] for i in ids]), self.unit_bytes(ids)
-        self.unchecked += found
+            found.update(zip(part, self.agendas(part), strict=True))
+        self.unchecked += found.items()
         self.check()
+        digits = {u: b"".join([self.digits[i] for i in ids]) for u, ids in found.items()} | {"": b""}
+        return [digits[u] for u in units]
 
     def check(self) -> None:
         """Compare what was encoded since the last call with the library."""
@@ -230,28 +233,41 @@ class Codec(dict):
         for (unit, ids), theirs in zip(asked, self.library.encode(given, num_threads=1) if given else [], strict=True):
             if theirs[len(lead) :] != ids:
                 raise ValueError(f"the agenda and the library differ on {unit[:80]!r}")
+            if self.unit_bytes(ids) != unit.replace(MARK, " ").encode():
+                raise ValueError(f"the ids of {unit[:80]!r} don't decode to it")
+
+    def tokens(self, text: str) -> list[str] | None:
+        """Tokens of a text, None if it holds the word mark or white space beside white space."""
+        out = text.replace("\n", " \n").split(" ")
+        return None if "" in out or MARK in text else out
 
     def units(self, text: str) -> list[str]:
-        marked = MARK + text.replace(" ", MARK)
-        if MARK * 2 in marked:
-            return _UNIT.findall(marked)
-        return [u for u in marked.replace("\n", " \n ").replace(MARK, f" {MARK}").split(" ") if u]
+        return _UNIT.findall(MARK + text.replace(" ", MARK))
 
     def encode_all(self, texts: list[str | None]) -> list[tuple[bytes, bytes]]:
-        """(ids in decimal joined by commas, decoded text in UTF-8) of each text."""
-        units = [self.units(t) if t else [] for t in texts]
-        new = set(chain.from_iterable(units))
-        if len(self) + len(new) > self.most_units:
+        """(ids in decimal joined by commas, decoded text in UTF-8) of each text.
+
+        Every unit is known to decode to itself, so a text decodes to itself but for marks.
+        """
+        plain = [self.tokens(t) if t else [] for t in texts]
+        odd = {i: self.units(texts[i]) for i, p in enumerate(plain) if p is None}
+        wanted, others = set(chain.from_iterable(p for p in plain if p)), set(chain.from_iterable(odd.values()))
+        if len(self) + len(self.apart) + len(wanted) + len(others) > self.most_units:
             self.clear()
-        new = {u for u in new if u not in self}
-        self.learn(new)
+            self.apart.clear()
+        new, apart = [k for k in wanted if k not in self], [u for u in others if u not in self.apart]
+        line = self.written(["\n"])[0]
+        for key, ids in zip(new, self.written([k[1:] if k[0] == "\n" else MARK + k for k in new]), strict=True):
+            self[key] = line + ids if key[0] == "\n" else ids
+        self.apart.update(zip(apart, self.written(apart), strict=True))
         out = []
-        for each in units:
-            parts = list(map(self.__getitem__, each))
-            out.append((b"".join([p[0] for p in parts])[:-1], b"".join([p[1] for p in parts])[1:]))
-        for unit in new:
-            if len(unit) > self.longest_kept:
-                del self[unit]
+        for i, text in enumerate(texts):
+            ids = b"".join(map(self.apart.__getitem__, odd[i]) if plain[i] is None else map(self.__getitem__, plain[i]))
+            out.append((ids[:-1], text.replace(MARK, " ").encode() if text else b""))
+        for known, added in ((self, new), (self.apart, apart)):
+            for key in added:
+                if len(key) > self.longest_kept:
+                    del known[key]
         return out
 
     def encode(self, text: str | None) -> tuple[bytes, bytes]:
