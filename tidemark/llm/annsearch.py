@@ -127,13 +127,19 @@ def best_of(ids: np.ndarray, x: np.ndarray, second: np.ndarray, q: np.ndarray, m
                     rough[some, a:b] = ask[some] @ xs[a:b].T / xn[a:b]
             rough /= qn[start : start + 512, None]
             cut = np.partition(rough, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(rough), -np.inf)
-            for i, (row, least) in enumerate(zip(rough, cut, strict=True), start):
-                near = np.flatnonzero((row >= least - 1e-9) & (row > -np.inf))
-                exact = (xs[near] * q[i]).sum(axis=1) / (xn[near] * qn[i])
-                top = np.lexsort((ids[near], -exact))[:k]
-                qs.append(np.full(len(top), i))
-                vs.append(order[near[top]])
-                ss.append(exact[top])
+            near = (rough >= cut[:, None] - 1e-9) & (rough > -np.inf)
+            # A few queries at a time, so that many equal scores don't fill the memory.
+            part = np.cumsum(near.sum(axis=1)) // 65_536
+            for number in np.unique(part):
+                rows = np.flatnonzero(part == number)
+                i, j = np.nonzero(near[rows])
+                i = rows[i]
+                exact = (xs[j] * ask[i]).sum(axis=1) / (xn[j] * qn[start + i])
+                best = np.lexsort((ids[j], -exact, i))
+                best = best[np.arange(len(best)) - np.searchsorted(i[best], i[best]) < k]
+                qs.append(start + i[best])
+                vs.append(order[j[best]])
+                ss.append(exact[best])
     return np.concatenate(qs), np.concatenate(vs), np.concatenate(ss)
 
 
