@@ -273,6 +273,24 @@ def test_nearest_of_few_rows_ties_and_salts(spark):
     assert best(split) == best(whole)
 
 
+def test_best_rows_of_many_buckets():
+    """What a task hands on has each query's best rows, each once."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(0)
+    rows = [(int(q), 0, int(v), 0, 1, round(float((q * 31 + v * 17) % 23), 1)) for q, v in rng.integers(0, 30, (3000, 2))]
+    names = ["query_id", "query_h", "vec_id", "h", "copy", "score"]
+    got = annsearch._combined(pa.Table.from_pylist([dict(zip(names, r, strict=True)) for r in rows]), 4).to_pylist()
+    want = {}
+    for r in sorted(set(rows), key=lambda r: (r[0], -r[5], r[2])):
+        if len(want.setdefault(r[0], [])) < 4:
+            want[r[0]].append(r[2])
+    found = {}
+    for r in got:
+        found.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert found == want
+
+
 def test_nearest_of_repeated_rows(spark):
     """Equal rows, one vec_id on two vectors, and more equal vectors than there are ranks."""
     a, b, c = [1.0, 0.0, 0.0, 0.0], [0.9, 0.1, 0.0, 0.0], [0.0, 0.0, 1.0, 0.0]

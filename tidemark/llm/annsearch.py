@@ -143,8 +143,19 @@ def best_of(ids: np.ndarray, x: np.ndarray, second: np.ndarray, q: np.ndarray, m
     return np.concatenate(qs), np.concatenate(vs), np.concatenate(ss)
 
 
-def _ranked(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _combined(found: pa.Table, k: int) -> pa.Table:
+    """The k best rows of each query, without repeats."""
+    found = found.sort_by([("query_id", "ascending"), ("query_h", "ascending"), ("score", "descending"), ("vec_id", "ascending"), ("h", "ascending"), ("copy", "ascending")])
+    cols = [found[c].to_numpy() for c in ("query_id", "query_h", "vec_id", "h", "copy")]
+    differs = lambda some: np.r_[True, np.logical_or.reduce([c[1:] != c[:-1] for c in some])][: len(found)]
+    query, fresh = differs(cols[:2]), differs(cols)
+    place = np.cumsum(fresh)
+    starts = np.maximum.accumulate(np.where(query, place, 0))
+    return found.filter(pa.array(fresh & (place - starts < k)))
+
+
+def _ranked(k: int, most: int = 1 << 17):
+    def ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come ordered by group; a group's queries stand before its candidates."""
         group, held = None, []
         for big in batches:
@@ -168,6 +179,23 @@ def _ranked(k: int):
                     row, ask = part.take(pa.array(j)), asked.take(pa.array(i))
                     yield pa.RecordBatch.from_arrays([*[ask[c].combine_chunks() for c in ("vec_id", "h")], *[row.column(c) for c in ("vec_id", "h", "copy")], pa.array(score)], names=["query_id", "query_h", "vec_id", "h", "copy", "score"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A query meets many buckets in a task; only its best rows of all of them leave it.
+        About ``most`` rows are held at once."""
+        held, n = [], 0
+        for found in ranks(batches):
+            held.append(found)
+            n += found.num_rows
+            if n > most:
+                best = _combined(pa.Table.from_batches(held), k)
+                if best.num_rows > most // 2:  # many queries: what is kept would only be sorted again
+                    yield from best.to_batches()
+                    held, n = [], 0
+                else:
+                    held, n = best.to_batches(), best.num_rows
+        if held:
+            yield from _combined(pa.Table.from_batches(held), k).to_batches()
+
     return run
 
 
