@@ -146,6 +146,34 @@ def test_scores_token_by_token(spark, sf):
     assert k.size == 68
 
 
+def test_every_training_token_is_learned_from(spark, sf):
+    """An Adagrad step moves only the vectors of classes that it meets: all that training holds
+    must have left their first places, also where a first learner gets a few tokens only; and
+    partitions don't change the network."""
+    docs = table(spark, sf, "documents")
+    size = {"head": 2000, "tails": 7, "indexed": 5000, "per_root": 400, "most_examples": 2000}
+    fitted = lmscore.fit(docs, lmscore.word_counts(docs), **size)
+    start = np.random.default_rng(11).normal(0, 0.1, (fitted.classes.size, 32)).astype(np.float32)
+    met = {0}
+    for d in docs.collect():
+        if crc(d.doc_id, 7) != 2:
+            met |= set(fitted.classes.numbers((d.text or "").encode().lower().split())[1].tolist())
+    still = (fitted.network.r == start).all(axis=1)
+    assert len(met) > 2000 and not still[sorted(met)].any()
+    again = lmscore.fit(docs.repartition(5), lmscore.word_counts(docs), **size)
+    assert np.allclose(again.network.r, fitted.network.r, atol=1e-5)
+
+
+def test_sequences_and_rounds_hold_every_token_once(spark, weird):
+    classes = lmscore.Classes.of([b"the", b"word"], 2, 3)
+    texts = lmscore.rounds_of(lmscore.sequences(weird, classes), 0.01).collect()
+    want = [r.text for r in weird.collect() if r.doc_id is None or crc(r.doc_id, 7) != 2]
+    assert sorted(t.tokens for t in texts) == sorted(len((t or "").encode().split()) + 1 for t in want)
+    assert {t["round"] for t in texts} <= set(range(8)) and max(t["round"] for t in texts) >= 5
+    y, x, w = lmscore.examples([np.array([0, 0, 3, 1, 0]), np.array([0, 0, 0]), np.array([0, 0, 2, 0])])
+    assert list(zip(y.tolist(), x.tolist(), w.tolist(), strict=True)) == [(0, 0, 3), (0, 3, 1), (3, 1, 0), (0, 0, 0), (0, 0, 2), (0, 2, 0)]
+
+
 def test_odd_rows(spark, weird, no_rows, some_labels):
     rows = weird.count()
     named = {r.doc_id: r.lang_pred for r in language.identify(weird).collect()}

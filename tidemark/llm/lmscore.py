@@ -8,11 +8,16 @@ training never met.  A text's end is a class too.
 
 Model: the vector predicted after the classes y, x is r_x C1 + r_y C2, a class w is as likely
 as exp(predicted . q_w + b_w).  Vectors and position matrices are trained in numpy with
-noise-contrastive estimation, the noise being the class unigrams, on examples (y, x, w) drawn
-from all training texts: ``per_root`` times the square root of the training tokens, at most
-``most_examples``.  Energies are sums of a term for each position, so the normalisers of all
-contexts are one matrix product of their exponentials, and a token's log-probability is three
-lookups: position one, position two, normaliser.
+noise-contrastive estimation, the noise being the unigrams of the classes over all training
+tokens.  Every training token is an example (y, x, w).  The training texts are dealt to rounds
+by a hash: one learner goes several times through the first, about ``per_root`` times the square
+root of the training tokens or all of up to ``LEAST``, ``most_examples`` at most; each further round is as large as all
+before it and dealt to learners, tasks that start from the same network and go once through
+their texts; what they arrive at is averaged by their numbers of tokens.  Rounds, learners and
+the order within them follow from ids and texts alone, so partitions don't change the network.
+Energies are sums of a term for each position, so the normalisers of all contexts are one
+matrix product of their exponentials, and a token's log-probability is three lookups:
+position one, position two, normaliser.
 
 Head words are counted in Python; what a text holds of other words is joined with the
 count table on the word, without a broadcast of it, unless the table is small.
@@ -27,6 +32,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from copy import deepcopy
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,9 +40,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.runtime import bounded, held_out, ship, stored, training_rows
+from tidemark.llm.runtime import bounded, dropped, held_out, ship, stored, training_rows
 
 END = b""  # no word is empty
+BLOCK = 1 << 20  # examples that a learner of a further round shuffles and learns at once
+LEARNERS = 32
+LEAST = 400 * 4096  # examples that a first learner goes on to, however few different ones there are
+PASSES = 2
+PLACES = 1 << 30  # of texts, which rounds are cut from
 
 
 def words(text: str | None) -> list[bytes]:
@@ -102,34 +113,33 @@ def word_counts(documents: DataFrame, most: int = 400_000) -> DataFrame:
     return rows.mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def examples(documents: DataFrame, classes: Classes, share: float) -> DataFrame:
-    """(cell): (y * size + x) * size + w for the classes of a ``share`` of all training tokens
-    and of the two before each; a text stands after ends.  Tokens are drawn by a generator
-    that the text seeds."""
+def sequences(documents: DataFrame, classes: Classes) -> DataFrame:
+    """(key, tokens, classes): the class numbers of every training text, its end too, behind the
+    two ends that it stands after; ``key`` is a hash that deals texts out."""
     shared = documents.sparkSession.sparkContext.broadcast(classes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = shared.value
+        kind = number_type(k.size)
         for batch in bounded(batches, "text"):
-            parts = []
-            for text in batch.column("text").to_pylist():
-                tokens = words(text)
-                rng = np.random.default_rng(zlib.crc32((text or "").encode()))
-                drawn = np.flatnonzero(rng.random(len(tokens) + 1) < share)
-                if not len(drawn):
-                    continue
-                near = drawn[:, None] + np.arange(-2, 1)
-                there = (near >= 0) & (near < len(tokens))  # before the text and after it there are ends
-                numbers = np.zeros(near.shape, np.int64)
-                numbers[there] = k.numbers([tokens[i] for i in near[there].tolist()])[1][:-1]
-                parts.append(numbers)
-            if parts:
-                y, x, w = np.concatenate(parts).T
-                cell = (y * k.size + x) * k.size + w
-                for start in range(0, len(cell), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(cell[start : start + 100_000])], names=["cell"])
-
-    return documents.where(training_rows("doc_id", 7, 2)).select("text").mapInArrow(run, "cell long")
+            found = [k.numbers(words(text))[1] for text in batch.column("text").to_pylist()]
+            data = [np.concatenate([[0, 0], n]).astype(kind).tobytes() for n in found]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([len(n) for n in found], pa.int64()), pa.array(data, pa.binary())], names=["key", "tokens", "classes"])
+
+    rows = documents.where(training_rows("doc_id", 7, 2)).select(F.xxhash64("doc_id", "text").alias("key"), "text")
+    return rows.mapInArrow(run, "key long, tokens long, classes binary")
+
+
+def number_type(size: int) -> type:
+    return np.uint16 if size <= 1 << 16 else np.uint32
+
+
+def examples(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(y, x, w) of every token of some sequences."""
+    joined, there = np.concatenate(parts), np.ones(sum(map(len, parts)), bool)
+    starts = np.cumsum([0, *map(len, parts[:-1])])
+    there[starts] = there[starts + 1] = False
+    return joined[:-2][there[2:]], joined[1:-1][there[2:]], joined[there]
 
 
 @dataclass
@@ -153,47 +163,150 @@ class Network:
         return np.log(np.maximum(np.exp(one - most[0]) @ np.exp(two - most[1]).T, 1e-300)) + most[0] + most[1].T
 
 
-def train(found: np.ndarray, size: int, width: int = 32, batch: int = 4096, noise: int = 24, passes: int = 2, seed: int = 11) -> Network:
-    """The network for examples given as cells, (y * size + x) * size + w."""
-    rng = np.random.default_rng(seed)
-    unigram = np.full(size, 0.5)
-    for start in range(0, len(found), 1 << 20):
-        unigram += np.bincount(found[start : start + (1 << 20)] % size, minlength=size)
-    unigram = unigram / unigram.sum()
-    log_noise = np.log(unigram)
-    make = lambda: rng.normal(0, 0.1, (size, width)).astype(np.float32)
-    n = Network(make(), make(), log_noise.astype(np.float32), np.eye(width, dtype=np.float32), 0.5 * np.eye(width, dtype=np.float32))
-    sums = {k: np.full(getattr(n, k).shape, 1e-3, np.float32) for k in ("r", "q", "b", "c1", "c2")}
-    noise_ends, steps = np.cumsum(unigram), max(400, passes * len(found) // batch)
-    for step in range(steps if len(found) else 0):
-        before, t = np.divmod(found[rng.integers(0, len(found), batch)], size)
-        y, x = np.divmod(before, size)
-        k = np.searchsorted(noise_ends, rng.random(64) * noise_ends[-1], side="right").clip(max=size - 1)
-        rx, ry = n.r[x], n.r[y]
+class Learning:
+    """A network under way, with its Adagrad sums and the noise that it is told from."""
+
+    def __init__(self, unigram: np.ndarray, width: int = 32, noise: int = 24, seed: int = 11) -> None:
+        rng, size = np.random.default_rng(seed), len(unigram)
+        unigram = (unigram + 0.5) / (unigram + 0.5).sum()
+        self.noise, self.noise_ends, self.log_noise = noise, np.cumsum(unigram), np.log(unigram).astype(np.float32)
+        make = lambda: rng.normal(0, 0.1, (size, width)).astype(np.float32)
+        self.network = Network(make(), make(), self.log_noise.copy(), np.eye(width, dtype=np.float32), 0.5 * np.eye(width, dtype=np.float32))
+        self.sums = {k: np.full(getattr(self.network, k).shape, 1e-3, np.float32) for k in ("r", "q", "b", "c1", "c2")}
+
+    def arrays(self) -> list[np.ndarray]:
+        return [*(getattr(self.network, k) for k in self.sums), *self.sums.values()]
+
+    def state(self) -> np.ndarray:
+        return np.concatenate([a.ravel() for a in self.arrays()])
+
+    def resume(self, state: np.ndarray) -> None:
+        at = 0
+        for a in self.arrays():
+            a[...] = state[at : at + a.size].reshape(a.shape)
+            at += a.size
+
+    def learn(self, y: np.ndarray, x: np.ndarray, t: np.ndarray, rng: np.random.Generator, rate, batch: int = 4096, passes: int = 1, least: int = 0) -> None:
+        """Go ``passes`` times through all examples, and on until ``least`` have been learned
+        from; ``rate`` gives the learning rate after so many."""
+        n, done, order = len(t), 0, np.empty(0, np.uint32)
+        goal = max(passes * n, least) if n else 0
+        while done < goal:
+            if len(order) < min(batch, goal - done):
+                order = np.concatenate([order, rng.permutation(np.tile(np.arange(n, dtype=order.dtype), max(1, -(-batch // n))))])
+            at, order = order[: min(batch, goal - done)], order[batch:]
+            self.step(y[at], x[at], t[at], rng, rate(done))
+            done += len(at)
+
+    def step(self, y: np.ndarray, x: np.ndarray, t: np.ndarray, rng: np.random.Generator, rate: float) -> None:
+        n, sums, size = self.network, self.sums, len(self.noise_ends)
+        log_noise = self.log_noise + np.float32(np.log(self.noise))
+        k = np.searchsorted(self.noise_ends, rng.random(64) * self.noise_ends[-1], side="right").clip(max=size - 1).astype(t.dtype)
+        rx, ry, qt, qk = n.r.take(x, 0), n.r.take(y, 0), n.q.take(t, 0), n.q[k]
         hat = rx @ n.c1 + ry @ n.c2
-        data = (hat * n.q[t]).sum(axis=1) + n.b[t] - log_noise[t] - np.log(noise)
-        fake = hat @ n.q[k].T + n.b[k] - log_noise[k] - np.log(noise)
-        up = (1 / (1 + np.exp(data.clip(-30, 30)))).astype(np.float32)  # slope on data
-        down = (-(noise / len(k)) / (1 + np.exp(-fake.clip(-30, 30)))).astype(np.float32)
-        rate = 0.15 * (1 - step / steps) + 0.005
-        back = up[:, None] * n.q[t] + down @ n.q[k]
+        data = np.einsum("ij,ij->i", hat, qt) + (n.b - log_noise)[t]
+        fake = hat @ qk.T + (n.b - log_noise)[k]
+        up = 1 / (1 + np.exp(data.clip(-30, 30)))  # slope on data
+        down = np.float32(-self.noise / len(k)) / (1 + np.exp(-fake.clip(-30, 30)))
+        back = up[:, None] * qt + down @ qk
         moved = (np.bincount(t, weights=up, minlength=size) + np.bincount(k, weights=down.sum(axis=0), minlength=size)).astype(np.float32)
         slopes = rx.T @ back, ry.T @ back
-        _move(n.r, sums["r"], np.r_[x, y], np.concatenate([back @ n.c1.T, back @ n.c2.T]), rate)
-        _move(n.q, sums["q"], np.r_[t, k], np.concatenate([up[:, None] * hat, down.T @ hat]), rate)
+        _move(n.r, sums["r"], np.concatenate([x, y]), np.concatenate([back @ n.c1.T, back @ n.c2.T]), rate)
+        _move(n.q, sums["q"], np.concatenate([t, k]), np.concatenate([up[:, None] * hat, down.T @ hat]), rate)
         for name, slope, pace in (("b", moved, rate), ("c1", slopes[0], rate / 10), ("c2", slopes[1], rate / 10)):
             sums[name] += slope * slope
-            getattr(n, name).__iadd__(pace * slope / np.sqrt(sums[name]))
-    return n
+            getattr(n, name).__iadd__(np.float32(pace) * slope / np.sqrt(sums[name]))
 
 
 def _move(weights: np.ndarray, sums: np.ndarray, rows: np.ndarray, slope: np.ndarray, rate: float) -> None:
     """An Adagrad step on some rows, which may repeat."""
     order = np.argsort(rows, kind="stable")
-    starts = np.flatnonzero(np.diff(rows[order], prepend=-1))
-    only, total = rows[order][starts], np.add.reduceat(slope[order].astype(np.float32), starts, axis=0)
+    ordered = rows.take(order)
+    starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    only, total = ordered[starts], np.add.reduceat(slope.take(order, 0), starts, axis=0)
     sums[only] += total * total
-    weights[only] += rate * total / np.sqrt(sums[only])
+    weights[only] += np.float32(rate) * total / np.sqrt(sums[only])
+
+
+def rate_after(done: float, work: float) -> float:
+    return 0.15 * (1 - min(1.0, done / max(1.0, work))) + 0.005
+
+
+def train(found: np.ndarray, size: int, seed: int = 11) -> Network:
+    """The network for examples given as cells, (y * size + x) * size + w, by one learner."""
+    before, t = np.divmod(found, size)
+    y, x = np.divmod(before, size)
+    learning, work = Learning(np.bincount(t, minlength=size), seed=seed), max(LEAST, PASSES * len(t))
+    learning.learn(*(v.astype(number_type(size)) for v in (y, x, t)), np.random.default_rng(seed), lambda done: rate_after(done, work), passes=PASSES, least=LEAST)
+    return learning.network
+
+
+def rounds_of(texts: DataFrame, first: float) -> DataFrame:
+    """``texts`` with ``round``: 0 for a share ``first`` of their places, and each further
+    one as large as all before it."""
+    place = F.pmod(F.col("key"), F.lit(PLACES))
+    end, number = int(first * PLACES) or 1, F.lit(0)
+    while end < PLACES:
+        number = number + (place >= end).cast("int")
+        end *= 2
+    return texts.withColumn("round", number)
+
+
+def learned(documents: DataFrame, classes: Classes, unigram: np.ndarray, per_root: int, most_examples: int) -> Network:
+    """The network, learned from all training tokens, whose classes ``unigram`` counts."""
+    spark, total, learning = documents.sparkSession, int(unigram.sum()), Learning(unigram)
+    first = min(total, max(per_root * total**0.5, LEAST), most_examples) / max(1, total)
+    texts = rounds_of(stored(sequences(documents, classes), "sequences"), first)
+    sizes = sorted((r["round"], r["n"]) for r in texts.groupBy("round").agg(F.sum("tokens").alias("n")).collect())
+    work = max(LEAST, PASSES * sizes[0][1]) + sum(n for _, n in sizes[1:]) if sizes else 0
+    done = 0
+    for number, n in sizes:
+        learners = min(LEARNERS, max(1, n // BLOCK)) if done else 1
+        dealt = texts.where(F.col("round") == number).select(F.pmod(F.shiftright("key", 30), F.lit(learners)).cast("int").alias("learner"), "key", "tokens", "classes")
+        shared = spark.sparkContext.broadcast(learning)
+        ends = dealt.repartition(2 * learners, "learner").sortWithinPartitions("learner", "key").mapInArrow(_learner(shared, number, learners, done, work), "learner int, n long, state binary")
+        found = sorted(ends.toArrow().to_pylist(), key=lambda r: r["learner"])
+        mean = sum(np.frombuffer(r["state"], np.float32).astype(np.float64) * r["n"] for r in found) / sum(r["n"] for r in found)
+        shared.destroy()
+        learning.resume(mean.astype(np.float32))
+        done += n if done else max(LEAST, PASSES * n)
+    dropped(texts)
+    return learning.network
+
+
+def _learner(shared, number: int, learners: int, before: int, work: int):
+    """Go through each learner's texts and hand on what it has arrived at."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        learning = deepcopy(shared.value)  # a worker's next task gets the same object
+        start, kind = learning.state(), number_type(len(learning.noise_ends))
+        who, rng, held, waiting, seen = None, None, [], 0, 0
+
+        def spend() -> None:
+            nonlocal held, waiting, seen
+            if held:
+                rate = lambda done: rate_after(before + learners * (seen + done), work)
+                learning.learn(*examples(held), rng, rate, passes=1 if before else PASSES, least=0 if before else LEAST)
+            held, waiting, seen = [], 0, seen + waiting
+
+        def end() -> Iterator[pa.RecordBatch]:
+            if who is not None:
+                spend()
+                yield pa.RecordBatch.from_arrays([pa.array([who], pa.int32()), pa.array([seen], pa.int64()), pa.array([learning.state().tobytes()], pa.binary())], names=["learner", "n", "state"])
+
+        for batch in batches:
+            for learner, tokens, data in zip(batch.column("learner").to_pylist(), batch.column("tokens").to_pylist(), batch.column("classes"), strict=True):
+                if learner != who:
+                    yield from end()
+                    learning.resume(start)
+                    who, rng, seen = learner, np.random.default_rng([11, number, learner]), 0
+                held.append(np.frombuffer(data.as_buffer(), kind))
+                waiting += tokens
+                if before and waiting >= BLOCK:
+                    spend()
+        yield from end()
+
+    return run
 
 
 @dataclass
@@ -227,7 +340,7 @@ class Scorer:
 
 def fit(documents: DataFrame, counts: DataFrame, head: int, tails: int, indexed: int, per_root: int, most_examples: int) -> Scorer:
     """Gather the corpus's statistics and train.  The driver gets the ``indexed`` most
-    frequent words, the sums of the classes, and the examples."""
+    frequent words, the sums of the classes, and the learners' networks."""
     inner = counts.where(F.length("word") > 0)
     top = inner.orderBy(F.desc("c"), "word").limit(indexed).toArrow()
     ranked, c = top["word"].to_pylist(), top["c"].to_numpy().astype(np.float64)
@@ -235,17 +348,14 @@ def fit(documents: DataFrame, counts: DataFrame, head: int, tails: int, indexed:
     whole = counts.agg(F.sum("c"), F.count("*")).first()
     total, distinct = int(whole[0] or 0), int(whole[1])
     end = counts.where(F.length("word") == 0).agg(F.sum("c")).first()[0] or 0
-    share = np.zeros(tails)
+    share, tokens = np.zeros(tails), np.zeros(tails)
     for k, n, v in inner.groupBy(tail_of("word", tails).alias("k")).agg(F.sum("c"), F.count("*")).collect():
-        share[k] = n + v
+        share[k], tokens[k] = n + v, n
     for w, x in zip(ranked[: classes.head], c, strict=False):  # the head stands for itself
         share[zlib.crc32(w[-2:]) % tails] -= x + 1
+        tokens[zlib.crc32(w[-2:]) % tails] -= x
     share = np.log10(share + 1)
-    drawn = examples(documents, classes, min(1.0, min(per_root * total**0.5, most_examples) / max(1, total))).toArrow()
-    found = np.array(drawn["cell"].to_numpy())
-    del drawn
-    found.sort()  # the same examples in the same order, however tasks ended
-    network = train(found, classes.size)
+    network = learned(documents, classes, np.concatenate([[end], c[: classes.head], tokens]), per_root, most_examples)
     inside = np.where(np.arange(len(c)) < classes.head, 0.0, np.log10(c + 1) - share[np.maximum(classes.class_of - 1 - classes.head, 0)])
     base = lambda x: np.log10((x + 1) / (total + distinct + 1))
     return Scorer(classes, network, network.normalisers().astype(np.float32), base(c), inside, float(base(end)), share, total, distinct)
