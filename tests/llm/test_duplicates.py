@@ -137,6 +137,21 @@ def test_short_lines_take_part(spark):
     assert got == {1: (docs[0][1], 0, 1), 2: ("\n ", 2, 1), 3: ("no\ntext of 3\ntext of 4", 1, 1)}
 
 
+@pytest.mark.parametrize("threshold", [1, 2, 3])
+def test_links_of_short_lines_are_counted(spark, monkeypatch, threshold):
+    """Every pair within the threshold is a link, however short its lines; a link with a line
+    too short for segments removes nothing."""
+    monkeypatch.setattr(linededup, "TILE", 5)
+    rng, limit = random.Random(threshold), (threshold + 1) ** 2
+    word = lambda n: "".join(rng.choice("abß😀 ") for _ in range(n))
+    docs = [(i, "\n".join(word(rng.randrange(limit + threshold + 2)) for _ in range(3))) for i in range(70)]
+    lines = {x for _, t in docs for x in t.split("\n") if x.strip(" ")}
+    short = {x: sum(y != x and min(len(x), len(y)) <= limit and distance(x, y) <= threshold for y in lines) for x in lines}
+    got = linededup.dedup(spark.createDataFrame(docs, "doc_id long, text string"), threshold).collect()
+    assert {r.doc_id: r.n_short_links for r in got} == {i: sum(short.get(x, 0) for x in t.split("\n")) for i, t in docs}
+    assert {r.doc_id: (r.n_lines, r.n_removed, r.n_links, hashlib.sha256(r.text.encode()).hexdigest()) for r in got} == plain_dedup(docs, threshold, 1)
+
+
 def test_line_plans_stay_in_the_jvm(spark, weird):
     import io
     from contextlib import redirect_stdout

@@ -3,8 +3,9 @@
 A line goes when it is a further copy of a line, or when a line before it (by doc_id, then
 place in the text) lies within ``threshold`` edits of it.  Lines of up to (threshold + 1)
 squared characters have segments no longer than the threshold and go only as further copies:
-most of them lie within the threshold of each other.  Blank lines always stay, and so do lines
-below ``least_chars`` characters, if a caller sets it.
+most of them lie within the threshold of each other.  Their links are found and counted all
+the same, apart from the others (``n_short_links``), and remove nothing.  Blank lines always
+stay and have no links, and so do lines below ``least_chars`` characters, if a caller sets it.
 
 Join: two lines within t edits, one cut into t + 1 segments, share at least one segment
 unchanged, near its place.  Every distinct line is indexed under (its length, segment
@@ -17,6 +18,10 @@ never become rows pair by pair.  A pair is cut down to where it differs, and a b
 bit-parallel automaton decides: one word of 2t + 1 bits, a bit for each diagonal of the
 band, for each number of edits up to t.
 
+Links of short lines, to each other and to longer ones, come from deletion neighbourhoods: two
+lines within t edits have a string in common that is left of either when up to t characters
+are taken out.  All such strings of a line are its keys; lines of a key are compared in tiles.
+
 Copies are grouped before segments are made, so a line that repeats everywhere is indexed
 once.  Lines are named by 95 bits of hashes, rows by 128.
 
@@ -217,36 +222,74 @@ def near_pairs(met: DataFrame, threshold: int) -> DataFrame:
     return found.select(F.struct("h", "h2", "first").alias("a"), F.struct("m.h", "m.h2", "m.first").alias("b"))
 
 
-def marked_lines(documents: DataFrame, threshold: int, least_chars: int) -> DataFrame:
-    """(h, h2, links, later, first): how many near lines a line has, whether one of them comes
-    first, and the place of the first copy, for lines that have near lines or copies."""
+def left_over(line: Column, most: int) -> Column:
+    """The distinct strings that are left of a line when up to ``most`` characters are taken out."""
+
+    def shorter(s: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.concat(s.substr(F.lit(1), i - 1), s.substr(i + 1, F.length(s))))
+
+    found = last = F.array(line)
+    for _ in range(most):
+        last = F.array_distinct(F.flatten(F.transform(F.filter(last, lambda s: F.length(s) > 0), shorter)))
+        found = F.concat(found, last)
+    return F.array_distinct(found)
+
+
+def short_links(documents: DataFrame, threshold: int, least_chars: int) -> DataFrame:
+    """(h, h2, short): the number of different lines within the threshold, this line or the
+    other one having no more than (threshold + 1) squared characters; only lines with such links."""
+    limit = (threshold + 1) ** 2
+    lines = F.filter(F.split("text", "\n"), lambda x: (F.length(x) <= limit + threshold) & counts_as_line(x, least_chars))
+    distinct = documents.select(F.explode(F.array_distinct(lines)).alias("line")).distinct()
+    keys = stored(distinct.select("line", F.explode(F.transform(left_over(F.col("line"), threshold), lambda s: F.xxhash64(s))).alias("key")), "shorts")
+    held = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    rows = keys.join(held, "key").select("key", "line", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
+    tiles = rows.groupBy("key", F.pmod(F.xxhash64(F.lit("tile"), "line"), F.col("tiles")).cast("int").alias("tile")).agg(F.collect_list("line").alias("held"))
+    asks = rows.select("key", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), "line")
+    line = F.col("line")
+
+    def near(m: Column) -> Column:
+        return (m != line) & (F.least(F.length(m), F.length(line)) <= limit) & (F.levenshtein(line, m, threshold) >= 0)
+
+    pairs = asks.join(tiles, ["key", "tile"]).select("line", F.explode_outer(F.filter("held", near)).alias("m")).where("m IS NOT NULL").distinct()
+    return pairs.groupBy(F.xxhash64("line").alias("h"), F.hash("line").bitwiseAND(F.lit(-2)).alias("h2")).agg(F.count("*").alias("short"))
+
+
+def marked_lines(documents: DataFrame, threshold: int, least_chars: int, short: bool = True) -> DataFrame:
+    """(h, h2, links, later, short, first): how many near lines a line has, whether one of them
+    comes first, how many links with short lines (with ``short``), and the place of the first
+    copy, for lines that have any of these."""
     met = stored(met_lines(distinct_lines(occurrences(documents, least_chars)), threshold), "lines")
     pairs = near_pairs(met, threshold).select(F.inline(F.array(F.struct(F.col("a").alias("own"), F.col("b").alias("other")), F.struct(F.col("b").alias("own"), F.col("a").alias("other")))))
     once = pairs.groupBy("own.h", "own.h2", F.col("other.h").alias("oh"), F.col("other.h2").alias("oh2")).agg(F.max(F.col("own.first") > F.col("other.first")).alias("later"))
     near = once.groupBy("h", "h2").agg(F.count("*").alias("links"), F.max("later").alias("later"))
     kind = met.schema["first"].dataType
-    copied = met.where("copies > 1").select("h", "h2", F.lit(0).cast("long"), F.lit(False), "first")
-    both = near.select("*", F.lit(None).cast(kind).alias("first")).unionAll(copied)
-    return stored(both.groupBy("h", "h2").agg(F.max("links").alias("links"), F.max("later").alias("later"), F.min("first").alias("first")), "marks")
+    none, nowhere = F.lit(0).cast("long"), F.lit(None).cast(kind).alias("first")
+    copied = met.where("copies > 1").select("h", "h2", none, F.lit(False), none, "first")
+    marks = near.select("*", none.alias("short"), nowhere).unionAll(copied)
+    if short:
+        marks = marks.unionAll(short_links(documents, threshold, least_chars).select("h", "h2", none, F.lit(False), "short", nowhere))
+    return stored(marks.groupBy("h", "h2").agg(F.max("links").alias("links"), F.max("later").alias("later"), F.max("short").alias("short"), F.min("first").alias("first")), "marks")
 
 
-def removals(documents: DataFrame, threshold: int, least_chars: int) -> DataFrame:
-    """(r1, r2, found): for rows with marked lines, the places (place, links, goes) of these."""
-    marks = marked_lines(documents, threshold, least_chars).withColumnRenamed("first", "earliest")
+def removals(documents: DataFrame, threshold: int, least_chars: int, short: bool = True) -> DataFrame:
+    """(r1, r2, found): for rows with marked lines, the places (place, links, short, goes) of these."""
+    marks = marked_lines(documents, threshold, least_chars, short).withColumnRenamed("first", "earliest")
     hit = occurrences(documents, least_chars).select("h", "h2", "first").join(marks, ["h", "h2"])
     goes = F.col("later") | F.coalesce(F.col("first") != F.col("earliest"), F.lit(False))
-    return hit.groupBy("first.r1", "first.r2").agg(F.collect_set(F.struct("first.place", "links", goes.alias("goes"))).alias("found"))
+    return hit.groupBy("first.r1", "first.r2").agg(F.collect_set(F.struct("first.place", "links", "short", goes.alias("goes"))).alias("found"))
 
 
 def dedup(documents: DataFrame, threshold: int = 2, least_chars: int = 1, counts: bool = True) -> DataFrame:
     """Documents without repeated lines, equal rows numbered and all but one emptied.
 
-    With ``counts``, ``n_lines``, ``n_removed`` and ``n_links`` are added in place of any
-    columns of these names; without, the columns are those of the input.
+    With ``counts``, ``n_lines``, ``n_removed``, ``n_links`` (both lines being long enough for
+    segments) and ``n_short_links`` (all others) are added in place of any columns of these
+    names; without, the columns are those of the input.
     """
     rows = keyed(documents).groupBy("r1", "r2").agg(F.first("row").alias("row"), F.count("*").alias("equal"))
-    joined = rows.join(removals(documents, threshold, least_chars), ["r1", "r2"], "left")
-    each = joined.select("row", F.coalesce("found", F.array().cast("array<struct<place:int,links:bigint,goes:boolean>>")).alias("found"), F.explode(F.sequence(F.lit(1), F.col("equal").cast("int"))).alias("number"))
+    joined = rows.join(removals(documents, threshold, least_chars, counts), ["r1", "r2"], "left")
+    each = joined.select("row", F.coalesce("found", F.array().cast("array<struct<place:int,links:bigint,short:bigint,goes:boolean>>")).alias("found"), F.explode(F.sequence(F.lit(1), F.col("equal").cast("int"))).alias("number"))
     text, lines = F.col("row.text"), F.split("row.text", "\n")
     places = F.transform(F.filter("found", lambda m: m["goes"]), lambda m: m["place"])
     again = F.filter(lines, lambda x: ~counts_as_line(x, least_chars))
@@ -258,6 +301,7 @@ def dedup(documents: DataFrame, threshold: int = 2, least_chars: int = 1, counts
         "n_lines": F.when(text.isNull(), 0).otherwise(F.size("lines")).cast("long"),
         "n_removed": F.when(text.isNull(), 0).otherwise(F.size("lines") - F.size("kept")).cast("long"),
         "n_links": F.aggregate("found", F.lit(0).cast("long"), lambda s, m: s + m["links"]),
+        "n_short_links": F.aggregate("found", F.lit(0).cast("long"), lambda s, m: s + m["short"]),
     }
     added = added if counts else {}
     given = [fresh.alias(c) if c == "text" else F.col(f"row.`{c}`") for c in documents.columns if c not in added]
@@ -265,6 +309,6 @@ def dedup(documents: DataFrame, threshold: int = 2, least_chars: int = 1, counts
 
 
 def digest(documents: DataFrame) -> DataFrame:
-    """(doc_id, n_lines, n_removed, n_links, text_sha256) of every document."""
+    """(doc_id, n_lines, n_removed, n_links, text_sha256, n_short_links) of every document."""
     kept = dedup(documents.select("doc_id", "text"))
-    return kept.select("doc_id", "n_lines", "n_removed", "n_links", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+    return kept.select("doc_id", "n_lines", "n_removed", "n_links", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), "n_short_links")

@@ -110,7 +110,8 @@ SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component
 #: DuckDB's levenshtein counts bytes, so letters beyond ASCII become unused control characters.
 LETTERS = "èñÑéÉßÇÊíêüÖÍÜÈöÓçäÄó"
 CONTROLS = "||".join(f"chr({i})" for i in [*range(1, 10), *range(11, 11 + len(LETTERS) - 9)])
-#: Brute force over all pairs of distinct lines of nearly one length.
+#: Brute force over all pairs of distinct lines of nearly one length; links with lines of up to 9
+#: characters, which remove nothing, are counted by themselves.
 OP7_SQL = f"""
 WITH d AS (SELECT doc_id, text, row_number() OVER (PARTITION BY doc_id, text) AS copy FROM documents),
 l AS (SELECT doc_id, text, copy, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS place FROM d WHERE text IS NOT NULL),
@@ -118,11 +119,12 @@ c AS (SELECT * FROM l WHERE length(line) >= 1 AND trim(line) <> ''),
 f AS (SELECT line, min({{'i': coalesce(doc_id, -9223372036854775807), 'p': place, 't': text, 'c': copy}}) AS first, length(line) AS n, translate(line, '{LETTERS}', {CONTROLS}) AS flat FROM c GROUP BY line),
 p AS (SELECT a.line AS x, b.line AS y, a.first AS fx, b.first AS fy FROM f a JOIN f b ON a.line < b.line AND b.n BETWEEN a.n - 2 AND a.n + 2 WHERE a.n > 9 AND b.n > 9 AND levenshtein(a.flat, b.flat) <= 2),
 e AS (SELECT line, count(*) AS links, bool_or(later) AS later FROM (SELECT x AS line, fx > fy AS later FROM p UNION ALL SELECT y, fy > fx FROM p) GROUP BY line),
-m AS (SELECT c.doc_id, c.text, c.copy, c.place, coalesce(links, 0) AS links, coalesce(later, false) OR first <> {{'i': coalesce(c.doc_id, -9223372036854775807), 'p': c.place, 't': c.text, 'c': c.copy}} AS goes FROM c JOIN f USING (line) LEFT JOIN e USING (line)),
-k AS (SELECT l.doc_id, l.text, l.copy, count(*) AS n_lines, count(*) FILTER (goes) AS n_removed, sum(coalesce(links, 0)) AS n_links, coalesce(string_agg(l.line, chr(10) ORDER BY l.place) FILTER (NOT coalesce(goes, false)), '') AS kept
+s AS (SELECT a.line, count(*) AS shorts FROM f a JOIN f b ON a.line <> b.line AND b.n BETWEEN a.n - 2 AND a.n + 2 WHERE a.n <= 11 AND b.n <= 11 AND (a.n <= 9 OR b.n <= 9) AND levenshtein(a.flat, b.flat) <= 2 GROUP BY a.line),
+m AS (SELECT c.doc_id, c.text, c.copy, c.place, coalesce(links, 0) AS links, coalesce(shorts, 0) AS shorts, coalesce(later, false) OR first <> {{'i': coalesce(c.doc_id, -9223372036854775807), 'p': c.place, 't': c.text, 'c': c.copy}} AS goes FROM c JOIN f USING (line) LEFT JOIN e USING (line) LEFT JOIN s USING (line)),
+k AS (SELECT l.doc_id, l.text, l.copy, count(*) AS n_lines, count(*) FILTER (goes) AS n_removed, sum(coalesce(links, 0)) AS n_links, sum(coalesce(shorts, 0)) AS n_short_links, coalesce(string_agg(l.line, chr(10) ORDER BY l.place) FILTER (NOT coalesce(goes, false)), '') AS kept
   FROM l LEFT JOIN m ON m.doc_id IS NOT DISTINCT FROM l.doc_id AND m.text = l.text AND m.copy = l.copy AND m.place = l.place GROUP BY l.doc_id, l.text, l.copy)
-SELECT doc_id, n_lines, n_removed, CAST(n_links AS BIGINT) AS n_links, sha256(kept) AS text_sha256 FROM k
-UNION ALL SELECT doc_id, 0, 0, 0, sha256('') FROM d WHERE text IS NULL
+SELECT doc_id, n_lines, n_removed, CAST(n_links AS BIGINT) AS n_links, sha256(kept) AS text_sha256, CAST(n_short_links AS BIGINT) AS n_short_links FROM k
+UNION ALL SELECT doc_id, 0, 0, 0, sha256(''), 0 FROM d WHERE text IS NULL
 """
 
 
