@@ -45,3 +45,18 @@ def test_query_matches_sql(spark, sf, duck, name):
     mine, theirs = normal([tuple(r) for r in got.collect()], got.columns), normal(want.fetchall(), want.columns)
     assert mine == theirs
     assert mine[1] or name in MAYBE_EMPTY
+
+
+@pytest.mark.parametrize("before, met, sources", [(0, True, {"inputs", "blocks", "records"}), (128, True, {"inputs", "records"}), (128, False, {"inputs"})])
+def test_obsolete_tables_where_a_source_is_empty(spark, tmp_path, before, met, sources):
+    """Records in an even block, in an odd one only (no unique blocks), and none."""
+    first = [(i // 100, i % 100) for i in range(before)] + ([(42, 20), (44, 7)] if met else [(46, 0)])
+    keys = first + [(600, i % 100) for i in range(3 * len(first))]  # the first quarter is run 0
+    con = duckdb.connect()
+    con.execute("CREATE TABLE events (event_id BIGINT, user_id BIGINT, event_type VARCHAR, value DOUBLE, props VARCHAR)")
+    con.executemany("INSERT INTO events VALUES (?, ?, 'click', 1.0, ?)", [(i, p, f'{{"k": {s}}}') for i, (p, s) in enumerate(keys)])
+    con.execute(f"COPY events TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    got = QUERIES["cp_obsolete"](Tables(spark, str(tmp_path)))
+    rows, want = [tuple(r) for r in got.collect()], con.sql(SQL["cp_obsolete"])
+    assert normal(rows, got.columns) == normal(want.fetchall(), want.columns)
+    assert {r[0] for r in rows} == sources

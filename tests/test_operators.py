@@ -107,3 +107,14 @@ def test_other_numbers_of_partitions_hold_the_same_rows(spark, sf):
     key = ("run", "prefix", "suffix", "value")
     assert {tuple(r) for r in few.blocks.select(*key).collect()} == {tuple(r) for r in many.blocks.select(*key).collect()}
     assert few.pst.count() <= many.pst.count()
+
+
+def test_obsolete_names_the_source_that_chose(spark):
+    """The first source that names any decides, even if it names no known table."""
+    table = spark.createDataFrame([(0, b, 9) for b in range(4)], "run long, block long, entries long")
+    some = lambda *found: spark.createDataFrame([(0, b) for b in found], "run long, block long")
+    chosen = lambda *given: sorted((r.source, r.block) for r in intervals.obsolete(table, *(some(*g) for g in given)).collect())
+    assert chosen([0, 0, 1], [2], [3]) == [("inputs", 0), ("inputs", 1)]
+    assert chosen([], [2], [2, 3]) == [("blocks", 2)]
+    assert chosen([], [], [3, 3, 9]) == [("records", 3)]
+    assert chosen([], [9], [3]) == chosen([], [], []) == []

@@ -119,8 +119,8 @@ def meeting(windows: DataFrame) -> DataFrame:
 
 
 def obsolete(table: DataFrame, inputs: DataFrame, blocks: DataFrame, records: DataFrame) -> DataFrame:
-    """Tables named by the first of three sources (run, block) that names any."""
-    for source in (inputs, blocks, records):
+    """Tables named by the first of three sources (run, block) that names any, and which ``source`` it was."""
+    for name, source in (("inputs", inputs), ("blocks", blocks), ("records", records)):
         if not source.isEmpty():
-            return table.join(source.select("run", "block").distinct(), ["run", "block"], "left_semi")
-    return table.limit(0)
+            return table.join(source.select("run", "block").distinct(), ["run", "block"], "left_semi").withColumn("source", F.lit(name))
+    return table.limit(0).withColumn("source", F.lit("nothing"))

@@ -268,16 +268,17 @@ OLD = "SELECT DISTINCT run, block FROM win WHERE run = 0 AND prefix BETWEEN 42 A
 @query("cp_obsolete", f", r AS ({OLD}), o AS (SELECT 'inputs' AS source, run, block FROM pst WHERE run = 0 AND block % 4 = 0 UNION ALL SELECT 'blocks', run, block FROM r WHERE block % 2 = 0 UNION ALL SELECT 'records', run, block FROM r) SELECT source, run, block, entries FROM o JOIN pst USING (run, block)")
 def cp_obsolete(t: Tables) -> DataFrame:
     """Tables that a compaction makes obsolete, from the first source that names any: its
-    inputs, else its unique blocks, else the records that it read; from none, no table."""
+    inputs, else its unique blocks, else the records that it read; from none, no table.
+    Where a source is empty, the choice is that of the next one, which is listed once."""
     table, none = t.pst, t.pst.select("run", "block").limit(0)
     inputs = table.where("run = 0 AND block % 4 = 0").select("run", "block")
     records = intervals.clip(t.windows.where("run = 0"), LOW, HIGH).select("run", "block").distinct()
     some = records.where("block % 2 = 0")
-    chosen = [intervals.obsolete(table, *given).withColumn("source", F.lit(name)) for name, given in (("inputs", (inputs, some, records)), ("blocks", (none, some, records)), ("records", (none, none, records)), ("nothing", (none, none, none)))]
+    chosen = [intervals.obsolete(table, *given) for given in ((inputs, some, records), (none, some, records), (none, none, records), (none, none, none))]
     out = chosen[0]
     for part in chosen[1:]:
         out = out.unionByName(part)
-    return out.select("source", "run", "block", "entries")
+    return out.select("source", "run", "block", "entries").distinct()
 
 
 @query("cp_clean", "SELECT 9 AS version, 0 AS runs, 0 AS batches, (SELECT count(*) FROM st) AS entries")
